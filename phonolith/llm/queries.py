@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, fingerprint, token_counts
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op4_fingerprints": fingerprint.op4_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
