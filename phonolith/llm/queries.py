@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, token_counts
+from . import exact_dedup, fingerprint, simhash_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
         "op4_fingerprints": fingerprint.op4_fingerprints,
+        "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     }
 
 
