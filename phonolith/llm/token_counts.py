@@ -150,8 +150,7 @@ class TextCounter:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or not self.words.end:
             raise ValueError("this counter takes NFC, white space, lower case and BPE with word ends")
-        bytes_to_units = _byte_units()
-        self.table = {b: u for b, u in enumerate(bytes_to_units)}
+        self.table = dict(enumerate(byte_units()))
         self.memo: dict[str, int] = {}
 
     def fragment(self, text: str) -> int:
@@ -219,7 +218,7 @@ class TextCounter:
         return self.fragment(m) if isinstance(m, str) else self.fragment(m[0]) + m[1] + self.fragment(m[2])
 
 
-def _byte_units() -> list[str]:
+def byte_units() -> list[str]:
     """The character that stands for each byte: itself where it prints, else the next free one from 256."""
     free, out = 256, []
     for b in range(256):
