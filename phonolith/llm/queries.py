@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, simhash_dedup, token_counts
+from . import exact_dedup, fingerprint, packing, simhash_dedup, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
         "op4_fingerprints": fingerprint.op4_fingerprints,
+        "op5_packing": packing.op5_packing,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
+        "op10_token_files": token_files.op10_token_files,
     }
 
 
