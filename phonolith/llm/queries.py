@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, packing, simhash_dedup, token_counts, token_files
+from . import exact_dedup, fingerprint, line_dedup, packing, simhash_dedup, token_counts, token_files
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_token_counts": token_counts.op2_token_counts,
         "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_packing": packing.op5_packing,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
