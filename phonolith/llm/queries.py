@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, line_dedup, packing, simhash_dedup, token_counts, token_files
+from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, simhash_dedup, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_packing": packing.op5_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
