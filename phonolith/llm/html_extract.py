@@ -60,9 +60,9 @@ _NOISE_WORDS = set(
 )
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = set("ul ol dl table body html article section div main".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[!?/][^>]*(?:>|$))", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^>]*$", re.S)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -87,25 +87,53 @@ def _is_noise(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return any(w in _NOISE_WORDS for w in words)
 
 
+def _tags(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text before, name or /name or nothing, attributes, end) of each tag; then the text after the last.
+
+    The caller may send a place to go on from. A tag cut off by the end of the
+    page is no text. Takes linear time: once a quote is found open to the end,
+    tags end at the next >.
+    """
+    at = seek = 0
+    quotes = True
+    while (start := source.find("<", seek)) >= 0:
+        name = _NAME.match(source, start)
+        if name:
+            rest = _REST.match(source, name.end()) if quotes else None
+            quotes = quotes and rest is not None
+            end = rest.end() if rest else source.find(">", name.end()) + 1
+            tag, attrs = name[1] + name[2].lower(), source[name.end() : end - 1]
+        elif source.startswith("<!--", start):
+            end, tag, attrs = source.find("-->", start + 4) + 3, "", ""
+            end = 0 if end == 2 else end
+        elif source[start + 1 : start + 2] in ("!", "?", "/"):
+            end, tag, attrs = source.find(">", start) + 1, "", ""
+        else:
+            seek = start + 1
+            continue
+        if not end:
+            yield source[at:start], "", "", len(source)
+            return
+        at = seek = (yield source[at:start], tag, attrs, end) or end
+    yield source[at:], "", "", len(source)
+
+
 def parse(source: str) -> Node:
     """The page's tree; unclosed and misplaced tags close as browsers close them in the main."""
     root = node = Node("#root", "", None, False, False)
-    at, n = 0, len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            rest = _OPEN_TAG.sub("", source[at:])  # a tag cut off at the end is no text
-            if rest:
-                node.children.append(rest)
+    tags, go = _tags(source), None
+    while True:
+        try:
+            text, tag, rest, at = tags.send(go)
+        except StopIteration:
             break
-        if m.start() > at:
-            node.children.append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        go = None
+        if text:
+            node.children.append(text)
         if not tag:
             continue
-        if m[1]:
-            up = node
+        if tag[0] == "/":
+            tag, up = tag[1:], node
             while up is not None and up.tag != tag:
                 if tag in _INLINE and up.tag not in _INLINE:
                     up = None  # an inline end tag closes no block
@@ -131,16 +159,14 @@ def parse(source: str) -> Node:
                 up = up.parent
             if up is not None and up.tag in _SELF_CLOSING[tag]:
                 node = up.parent
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip() else {}
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(rest)} if rest.strip() else {}
         look = ".".join(sorted(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('role', '')}".lower())))
         child = Node(tag, f"{node.path}/{tag}.{look}", node, _is_noise(tag, attrs, node.main), node.main or tag in ("article", "main"))
         node.children.append(child)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, at)
-            if not end:
-                break
-            at = source.find(">", end.start()) + 1 or n
-        elif tag not in _VOID and not m[4] and child.depth < DEPTH:
+            go = len(source) if not end else source.find(">", end.start()) + 1 or len(source)
+        elif tag not in _VOID and not rest.endswith("/") and child.depth < DEPTH:
             node = child
     return root
 
