@@ -252,6 +252,8 @@ class LineIndex:
                 out.append((b"\n".join(keep).decode(), len(lines), len(lines) - len(keep)))
             return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
+        # Marked so that no filter above runs it a second time.
+        remaining = remaining.asNondeterministic()
         new = joined.withColumn("__new", remaining(F.coalesce(F.col(text_col), F.lit("")), F.col("__dropped")))
         kept = [F.col("__new.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
         return new.select(*kept, F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"))

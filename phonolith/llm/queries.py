@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, simhash_dedup, token_counts, token_files
+from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, quality, simhash_dedup, token_counts, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
+        "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_token_files": token_files.op10_token_files,
     }
 
