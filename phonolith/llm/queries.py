@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, quality, simhash_dedup, token_counts, token_files
+from . import exact_dedup, fingerprint, html_extract, line_dedup, mixing, packing, quality, simhash_dedup, token_counts, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_html_extract": html_extract.op3_html_extract,
         "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_packing": packing.op5_packing,
+        "op6_mixing": mixing.op6_mixing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
         "op9_quality_classifier": quality.op9_quality_classifier,
