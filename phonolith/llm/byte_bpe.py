@@ -10,15 +10,18 @@ equal those of the whole text.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 from .token_counts import byte_units
 
+#: Marks that end a word as one piece; the apostrophe is not among them, as it may start one.
+_MARKS = ".,;:!?*#$%&|()-"
 #: Entries of a generation of a memo, and the longest stretch that is kept.
-MEMO, LONGEST = 200_000, 48
+MEMO, LONGEST = 350_000, 48
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _TWO_SPACES = re.compile(r"\s\s")
@@ -32,17 +35,10 @@ class Memo:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def get(self, key: str, make) -> bytes:
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = make(key)
-            if len(key) <= LONGEST:
-                if len(self.new) >= MEMO:
-                    self.old, self.new = self.new, {}
-                self.new[key] = found
-        return found
+    def add(self, key: str, ids: bytes) -> None:
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
 
 
 class ByteBpe:
@@ -54,31 +50,63 @@ class ByteBpe:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.stretches, self.pieces = Memo(), Memo()
         self.units = dict(enumerate(byte_units()))
+        self.space = self.units[32]
         # Where nothing but the byte-level split happens before the model, pieces can be encoded one by one.
         self.plain = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
 
     def _piece(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.units))]
-        return np.array(ids, "<u4").tobytes()
-
-    def _stretch(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(p, self._piece) for p in PIECES.findall(text)])
+        """The ids of one piece."""
+        memo = self.pieces
+        ids = memo.new.get(text)
+        if ids is None:
+            ids = memo.old.get(text)
+            if ids is None:
+                if text.isascii() and text.isprintable():
+                    units = text.replace(" ", self.space)
+                else:
+                    units = text.encode().decode("latin-1").translate(self.units)
+                ids = _bytes([t.id for t in self.model.tokenize(units)])
+            if len(text) <= LONGEST:
+                memo.add(text, ids)
+        return ids
+
+    def _after_space(self, text: str) -> bytes:
+        """The ids of a space and ``text``, which has no space."""
+        body = text.rstrip(_MARKS)
+        if not body.isalpha():
+            return b"".join(map(self._piece, PIECES.findall(" " + text)))
+        ids = self._piece(" " + body)  # letters, then marks: two pieces
+        return ids if len(body) == len(text) else ids + self._piece(text[len(body) :])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if not self.plain or any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _bytes(self.library.encode(text, add_special_tokens=False).ids)
         parts = _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        out = [self.stretches.get(parts[0], self._stretch)] if parts[0] else []
-        for p in parts[1:]:
-            p = " " + p
-            ids = self.stretches.new.get(p)
-            out.append(self.stretches.get(p, self._stretch) if ids is None else ids)
+        out = [b"".join(map(self._piece, PIECES.findall(parts[0])))]
+        del parts[0]
+        memo = self.stretches
+        out += map(memo.new.get, parts)
+        if None in out:
+            for i, p in [(i, parts[i - 1]) for i, ids in enumerate(out) if ids is None]:
+                ids = memo.old.get(p)
+                if ids is None:
+                    ids = self._after_space(p)
+                out[i] = ids
+                if len(p) <= LONGEST:
+                    memo.add(p, ids)
         return b"".join(out)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
