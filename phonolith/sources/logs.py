@@ -21,7 +21,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "line_no bigint, line string")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\R|[\x1c-\x1e]")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
