@@ -205,7 +205,7 @@ class LineIndex:
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id")).distinct()
         touched = self.postings.join(gone, "doc_id", "left_semi")
-        return self._moved(written(self.postings.join(gone, "doc_id", "left_anti"), "line-postings"), touched)
+        return self._moved(written(self.postings.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-postings"), touched)
 
     def passing(self) -> DataFrame:
         """Postings that may be counted, by the filters where these are small enough to send out."""
