@@ -176,8 +176,8 @@ def mix(
                 base = sums.select(m, F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(temper))).otherwise(0.0).alias("base"))
             else:
                 given = spark.createDataFrame([(_NONE if k is None else k, float(v)) for k, v in targets[m].items()], f"{m} string, base double")
-                base = sums.where("t > 0").join(given, m).select(m, "base")
-            frames[m] = written(base.crossJoin(F.broadcast(base.agg(F.sum("base").alias("all")))).select(m, (F.col("base") / F.col("all")).alias("goal")), "mixing-goals")
+                base = sums.join(given, m, "left").select(m, F.when(F.col("t") > 0, F.coalesce("base", F.lit(0.0))).otherwise(0.0).alias("base"))
+            frames[m] = written(base.crossJoin(F.broadcast(base.agg(F.sum("base").alias("all")))).select(m, F.coalesce(F.try_divide("base", "all"), F.lit(0.0)).alias("goal")), "mixing-goals")
         raked = _rake_distributed(cells, frames).withColumn("rate", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
         raked = written(raked, "mixing-raked")
         # c by bisection over aggregates: the kept tokens grow with c.

@@ -3,7 +3,6 @@
 import hashlib
 import re
 from collections import defaultdict
-from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -135,7 +134,10 @@ def test_fingerprints_by_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in rows(fingerprint.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))}
     assert {i: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for i, r in got.items()} == want
     like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
+    distance = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
     for i, r in got.items():
+        near = [(distance(r["edited_fingerprint"], o["fingerprint"]), j) for j, o in got.items()]
+        assert r["found_id"] == (min(near)[1] if min(near)[0] <= 3 else None)
         assert r["near_edited"] == like(r["fingerprint"], r["edited_fingerprint"])
         assert r["near_next"] == like(r["fingerprint"], got[after[i]]["fingerprint"])
 
@@ -160,9 +162,9 @@ def test_fingerprints_odd(odd, nothing, null_id, spark):
     assert lone["near_next"] == 1.0  # a single document is its own next
 
 
-def test_near_fingerprints_find_all(spark):
+def test_search_finds_all(spark):
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 30, dtype=np.int64).tolist()
+    base = rng.integers(-(2**63), 2**63, 30, dtype=np.int64).tolist()
     fps = set(base)
     for b in base:
         for _ in range(4):
@@ -170,11 +172,14 @@ def test_near_fingerprints_find_all(spark):
             for bit in rng.choice(63, rng.integers(1, 6), replace=False):
                 x ^= 1 << int(bit)
             fps.add(x)
-    table = spark.createDataFrame([(f,) for f in fps] + [(None,), (base[0],)], "fp long")
-    want = {(min(a, b), max(a, b)) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 3}
-    assert {(r["a"], r["b"]) for r in rows(fingerprint.near_fingerprints(table))} == want
+    index, queries = sorted(fps)[::2], sorted(fps)
+    near = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    want = {(q, i, near(q, i)) for q in queries for i in index if near(q, i) <= 3}
+    qs = spark.createDataFrame([(f,) for f in queries] + [(None,), (base[0],)], "q long")
+    got = fingerprint.search_fingerprints(qs, spark.createDataFrame([(f,) for f in index] + [(None,)], "fp long"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     with pytest.raises(ValueError):
-        fingerprint.near_fingerprints(table, radius=6)
+        fingerprint.search_fingerprints(qs, qs.withColumnRenamed("q", "fp"), radius=6)
 
 
 # --- line dedup ---
