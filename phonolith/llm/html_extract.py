@@ -50,14 +50,17 @@ _CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre search section table ul".split()
 )
-_NOISE_TAGS = set("nav footer aside form header menu dialog button head".split()) | (_RAW - {"title"}) | {"title"}
+_NOISE_TAGS = set("nav footer aside form header menu dialog button head".split()) | _RAW
 _NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NOISE_WORDS = set(
     "ad ads advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice gdpr popup modal newsletter subscribe "
     "subscription signup login share sharing social comment comments respond disqus related recommended widget pagination pager "
-    "copyright toolbar".split()
+    "copyright toolbar notices notification alert replies teaser".split()
 )
+#: Class names that make an article element something else than the page's article.
+_NO_ARTICLE = set("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = set("ul ol dl table body html article section div main".split())
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -69,22 +72,25 @@ _WORD = re.compile(r"[a-z0-9]+")
 class Node:
     __slots__ = ("tag", "path", "noise", "main", "children", "parent", "depth")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, main: bool):
+    def __init__(self, tag: str, path: str, parent: Node | None, noise: int, main: bool):
         self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
         self.children: list = []
         self.depth: int = parent.depth + 1 if parent is not None else 0
 
 
-def _is_noise(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
+def _is_noise(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
+    """2 for noise by element or role, 1 for noise by class or id alone, 0 for content."""
     if tag in _NOISE_TAGS:
         # An article's own header holds its headline.
-        return not (tag == "header" and inside_main)
+        return 0 if tag == "header" and inside_main else 2
     if attrs.get("role", "").lower() in _NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if tag in ("body", "html", "main", "article") or tag in _INLINE - {"span", "a"}:
-        return False
-    words = _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(w in _NOISE_WORDS for w in words)
+        return 2
+    if "display:none" in attrs.get("style", "").replace(" ", ""):
+        return 2
+    if tag in ("body", "html", "main") or tag in _INLINE - {"span", "a"}:
+        return 0
+    names = _CAMEL.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
+    return int(not (_NO_ARTICLE if tag == "article" else _NOISE_WORDS).isdisjoint(_WORD.findall(names)))
 
 
 def _tags(source: str) -> Iterator[tuple[str, str, str, int]]:
@@ -120,7 +126,7 @@ def _tags(source: str) -> Iterator[tuple[str, str, str, int]]:
 
 def parse(source: str) -> Node:
     """The page's tree; unclosed and misplaced tags close as browsers close them in the main."""
-    root = node = Node("#root", "", None, False, False)
+    root = node = Node("#root", "", None, 0, False)
     tags, go = _tags(source), None
     while True:
         try:
@@ -163,6 +169,11 @@ def parse(source: str) -> Node:
         look = ".".join(sorted(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('role', '')}".lower())))
         child = Node(tag, f"{node.path}/{tag}.{look}", node, _is_noise(tag, attrs, node.main), node.main or tag in ("article", "main"))
         node.children.append(child)
+        if tag in ("article", "main") and not child.noise:
+            up = node  # what holds the article is a wrapper, whatever its class says ("no-sidebar")
+            while up is not None:
+                up.noise = 0 if up.noise == 1 else up.noise
+                up = up.parent
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, at)
             go = len(source) if not end else source.find(">", end.start()) + 1 or len(source)

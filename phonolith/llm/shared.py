@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="phonolith-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -205,6 +205,8 @@ def test_pages(spark, docs):
         ("<form><p>no</p><input value='x>y'></form><p>a < b</p><p", "a < b"),
         ("<nav><ul><li>m</ul></nav><article><p>x</article><aside>s</aside>", "x"),
         ("<head><title>no</title><body><p>yes", "yes"),
+        ("<div class='page no-sidebar'><div id=topMenu>m</div><article class='post has-footer'>a<article class=comment>c</article></article></div>", "a"),
+        ("<p style='display: none'>no</p><div class=cookieBanner>no</div><p>yes", "yes"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<a b='" * 3000, ""),
     ],
