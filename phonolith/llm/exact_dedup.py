@@ -90,13 +90,15 @@ def dedup_exact(
     wide = lambda c: c.cast("decimal(38,0)")
     base = lambda n: wide(wide(F.col(n)) * _const(2 * _NO_ID))
     rank = base("n") - F.coalesce(wide(F.col("doc_id")), _const(_NO_ID))
-    groups = owned.groupBy("bucket", "h", "norm").agg(
-        F.max(wide(rank)).alias("best"), F.count(F.lit(1)).alias("group_size"), F.max("n").alias("most")
-    )
-    keep = wide(base("most") - F.col("best"))
-    keep = F.when(keep < _const(_NO_ID), keep).cast("long")
-    groups = groups.select("bucket", "h", "norm", "group_size", keep.alias("keep_id"))
-    groups = written(groups, "exact-groups")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        groups = rows.groupBy("bucket", "h", "norm").agg(
+            F.max(wide(rank)).alias("best"), F.count(F.lit(1)).alias("group_size"), F.max("n").alias("most")
+        )
+        keep = wide(base("most") - F.col("best"))
+        return groups.select("bucket", "h", "norm", "group_size", F.when(keep < _const(_NO_ID), keep).cast("long").alias("keep_id"))
+
+    groups = written(grouped(owned).drop("norm"), "exact-groups")
     chained = groups.groupBy("h").agg(F.count(F.lit(1)).alias("links")).where("links > 1").select("h")
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "chain"]
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -107,8 +109,7 @@ def dedup_exact(
     # Collision chains: the entries of such hashes are compared by their bytes.
     chained = written(chained, "exact-chained")
     single = groups.join(chained, "h", "left_anti").select("bucket", "h", "group_size", "keep_id", F.lit(0).alias("chain"))
-    links = groups.join(chained, "h", "left_semi")
-    several = links.selectExpr(
+    several = grouped(owned.join(chained, "h", "left_semi")).selectExpr(
         "bucket", "h", "norm", "group_size", "keep_id", "cast(row_number() over (partition by h order by norm) - 1 as int) chain"
     )
     compared = entries.join(chained, "h", "left_semi").join(several, ["h", "norm"])
