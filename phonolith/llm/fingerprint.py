@@ -6,9 +6,10 @@ set when the votes for it are more than half. The votes of two bits share one
 64-bit sum, so 32 sums count all 64 bits inside generated code, and each
 document leaves the map side as one row.
 
-``near_fingerprints`` finds pairs within a Hamming radius by permuted block
-tables: 64 bits in ``blocks`` blocks; for any pair within radius r some
-``blocks - r`` blocks agree, so there is one table per choice of blocks.
+``search_fingerprints`` finds all index fingerprints within a Hamming radius of
+the query fingerprints by permuted block tables: 64 bits in ``blocks`` blocks;
+for any pair within radius r some ``blocks - r`` blocks agree, so there is one
+table per choice of blocks. Both sides hold different fingerprints only.
 
 Only DataFrame functions are used. Texts are shuffled once, by ranges of
 ``SPAN`` ids; the next document of a range's last row comes from a small table
@@ -73,7 +74,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = ranged.withColumn("place", F.row_number().over(by)).withColumn("above", F.lag("doc_id").over(by))
     # A repeated id keeps the row with the greatest text.
     ranged = ranged.where((F.col("place") == 1) | ~F.col("doc_id").eqNullSafe(F.col("above"))).drop("above")
-    heads = ranged.where("place = 1").select("range", F.col("doc_id").alias("head_id"), F.col("text").alias("head_text"))
+    # The greatest id of each range and its text: combined on the map side, one row per range and task.
+    top = docs.withColumn("range", F.coalesce(span, F.lit(-(2**62)))).withColumn("order", F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text"))
+    heads = top.groupBy("range").agg(F.max("doc_id").alias("head_id"), F.max_by("text", "order").alias("head_text"))
     heads = written(heads, "fingerprint-heads")
     # Each range's next lower range: by lead within groups of SPAN ranges, then from group to group.
     group = F.floor(F.col("range") / F.lit(SPAN))
@@ -95,8 +98,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """Fingerprints of each text and of its edited text, their likeness, and ``found_id``.
+
+    ``found_id`` is the document (the nearest, then of the smallest id) whose
+    fingerprint lies within ``radius`` bits of the edited text's, null if none.
 
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document, in descending id order, after the last
@@ -117,10 +123,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("t")))).alias("v"),
     ).select("key", "v.edit", shingle_hashes(F.col("v.t")).alias("terms"))
     votes = written(vote(both.select("key", "edit", F.explode_outer("terms").alias("term")), ["key", "edit"], "term", "fp"), "fingerprints")
+    # Which documents the edited text would still be found as.
+    first = votes.where("edit = 0").groupBy("fp").agg(F.min("key").alias("id"))
+    pairs = search_fingerprints(votes.where("edit = 1").select(F.col("fp").alias("q")), first, radius)
+    nearest = pairs.join(first, "fp").groupBy(F.col("q").alias("edited_fp")).agg(F.min(F.struct("distance", "id"))["id"].alias("found_id"))
     own = votes.where("edit = 0").select("key", F.col("fp").alias("fp"))
     edited = votes.where("edit = 1").select("key", F.col("fp").alias("edited_fp"))
     after = own.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp"))
-    out = facts.join(own, "key").join(edited, "key").join(after, "next_key")
+    out = facts.join(own, "key").join(edited, "key").join(after, "next_key").join(nearest, "edited_fp", "left")
     return out.select(
         "doc_id",
         "n_chars",
@@ -129,28 +139,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hex64("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"),
         likeness("fp", "next_fp").alias("near_next"),
+        F.when(F.col("found_id") != -(2**63), F.col("found_id")).alias("found_id"),
     )
 
 
-def near_fingerprints(fps: DataFrame, fp: str = "fp", radius: int = 3, blocks: int = 6) -> DataFrame:
-    """Pairs (a, b) of different fingerprints, a before b as signed numbers, within ``radius`` bits; ``distance``.
-
-    Nulls find nothing; repeated fingerprints count once.
-    """
+def _block_tables(fps: DataFrame, name: str, radius: int, blocks: int) -> DataFrame:
+    """(table, key, name): each different fingerprint under every choice of ``blocks - radius`` blocks."""
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below blocks")
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(2**b for i in kept for b in range(edges[i], edges[i + 1])) for kept in combinations(range(blocks), blocks - radius)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    distinct = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
-    tables = distinct.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key")
-    )
-    same = Window.partitionBy("table", "key")
-    live = written(tables.withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1").drop("n"), "fingerprint-tables")
-    a, b = live.withColumnRenamed("fp", "a"), live.withColumnRenamed("fp", "b")
-    found = a.join(b, ["table", "key"]).where("a < b").withColumn("distance", F.expr("bit_count(a ^ b)"))
-    return found.where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    distinct = fps.where(F.col(name).isNotNull()).select(name).distinct()
+    return distinct.select(name, F.posexplode(F.array(*[F.col(name).bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
+
+
+def search_fingerprints(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """All pairs (q, fp) of different query and index fingerprints within ``radius`` bits, with ``distance``.
+
+    ``queries`` has a column q, ``index`` a column fp. Nulls find nothing. With
+    64 bits in 6 blocks and radius 3, keys have about 32 bits, so few keys meet
+    by chance.
+    """
+    q, i = _block_tables(queries, "q", radius, blocks), _block_tables(index, "fp", radius, blocks)
+    found = q.join(i, ["table", "key"]).withColumn("distance", F.expr("bit_count(q ^ fp)"))
+    return found.where(F.col("distance") <= radius).select("q", "fp", "distance").distinct()
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
