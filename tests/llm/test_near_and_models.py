@@ -146,6 +146,27 @@ def test_near_copies_on_documents(docs):
     assert all(want[i] == want[root] for i, root in got.items())
 
 
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_copies_around_a_base(spark, hot):
+    """Copies edited apart from one base are similar to it alone, and the base has not the least id."""
+    base = edited_copies(1, 0, 5)[0].split()
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in range(1500):
+        own = list(base)
+        for at in rng.choice(np.arange(2, len(base) - 2), 2, replace=False):
+            own[at] = f"new{n}x{at}"
+        texts.append(" ".join(own))
+    texts.insert(700, " ".join(base))
+    sets = [near_copies.shingles(near_copies.words_of(t)) for t in texts]
+    assert all(near_copies.jaccard(sets[700], s) >= 0.8 for s in sets)
+    assert np.mean([near_copies.jaccard(sets[0], s) >= 0.8 for s in sets[1:]]) < 0.1
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first"] for r in rows(near_copies.near_copy_groups(table, hot=hot))}
+    # The index of the signature alone may miss one in a hundred.
+    assert sum(root == 0 for root in got.values()) >= 0.99 * len(texts)
+
+
 def test_near_copies_odd(odd, nothing, null_id):
     kept = near_copies.drop_near_copies(odd)
     assert kept.columns == odd.columns
