@@ -1,5 +1,6 @@
 """Near copies, mixing, the classifier and the pipeline against brute force, and odd input."""
 
+import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -167,6 +168,32 @@ def test_near_copies_around_a_base(spark, hot):
     assert sum(root == 0 for root in got.values()) >= 0.99 * len(texts)
 
 
+def test_near_copies_by_kind_of_edit(spark):
+    """Appended, cut and re-ended copies of every similarity from 0.8: all pairs of the brute-force join."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for length in (40, 100, 300, 800):
+        for share in (0.81, 0.84, 0.88, 0.92):
+            for kind in ("appended", "cut", "re-ended"):
+                for _ in range(4):
+                    base = [f"w{x}" for x in rng.integers(0, 10**9, length)]
+                    more = [f"w{x}" for x in rng.integers(0, 10**9, length)]
+                    n = length - 4
+                    if kind == "appended":
+                        other = base + more[: int(n / share) - n]
+                    elif kind == "cut":
+                        other = base[: math.ceil(share * n) + 4]
+                    else:
+                        same = math.ceil(2 * share / (1 + share) * n) + 4
+                        other = base[:same] + more[same:]
+                    texts += [" ".join(base), " ".join(other)]
+    sets = [near_copies.shingles(near_copies.words_of(t)) for t in texts]
+    pairs = [(a, a + 1) for a in range(0, len(texts), 2)]
+    assert all(near_copies.jaccard(sets[a], sets[b]) >= 0.8 for a, b in pairs)
+    got = {r["doc_id"]: r["first"] for r in rows(near_copies.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [p for p in pairs if got[p[1]] != p[0]] == []
+
+
 def test_near_copies_odd(odd, nothing, null_id):
     kept = near_copies.drop_near_copies(odd)
     assert kept.columns == odd.columns
