@@ -1,23 +1,22 @@
 """Operator 3, HTML extraction by a site style tree.
 
 Each page is parsed into a tree. The trees of one host are merged: nodes with
-the same path of tags, classes and roles are one style node. Per style node the
-tables hold how many pages have it, how often its presentation (the list of its
-children) occurs, and how often each content occurs. From these come:
-
-* the importance of the presentation: the entropy of the node's presentations
-  over the pages, as a share of the greatest possible;
-* the importance of the content: the same for the hashes of its text.
-
-A node is as important as the greater of the two. Branches of low importance
-(the same notice on all pages of a host) go, as do the branches that HTML itself
-or its class names call menus, headers, footers, sidebars, notices, adverts,
-forms or comments. A node inside the page's article, and any node of a host with
-too few pages to judge, is never removed for low importance alone.
-
-The statistics are grouped counts with map-side sums, so a host with a third of
-all pages sends one row per node, presentation or content from each task. The
-nodes to remove go to the pages by a join on the host, one row for each host.
+the same path of tags, classes and roles are one style node. For each style node
+the tables hold how many different pages have it, and for each of its contents
+(its text and the list of its children) how many of them have that. All nodes of
+a page count; pages of a host with the same main text are one page.
+
+The importance of a content on d of P pages is its information, log(P / d), as a
+share of the greatest possible, log P. Nodes whose content is of low importance
+(the same notice on all pages of a host) go, other nodes of their path stay. The
+branches that HTML itself or its class names call menus, headers, footers,
+sidebars, notices, adverts, forms or comments go as well. A node inside the page's
+article, and any node of a host with too few pages to judge, is never removed
+for low importance alone.
+
+The statistics are grouped counts with map-side sums over distinct rows. The
+contents to remove go to the pages by a join on the host, one row for each host;
+each is on at least P to the power 0.7 pages, so they are few.
 """
 
 from __future__ import annotations
@@ -187,16 +186,20 @@ def _text(node: Node) -> str:
     return " ".join(html.unescape(c) if isinstance(c, str) else _text(c) for c in node.children)
 
 
-def style_nodes(root: Node) -> Iterator[tuple[str, int, int]]:
-    """(path, presentation, content) of the block nodes outside noise and outside the article."""
+def _key(node: Node) -> int:
+    """A hash of the node's path, presentation and content."""
+    look = " ".join(c.tag for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE)
+    return _hash("\0".join((node.path, look, " ".join(_text(node).split()))))
+
+
+def style_nodes(root: Node) -> Iterator[tuple[str, int]]:
+    """(path, key) of the block nodes outside noise and outside the article."""
     stack = [root]
     while stack:
         node = stack.pop()
-        kids = [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE]
         if node.parent is not None and node.tag not in ("html", "body") and not node.main:
-            look = " ".join(c.tag for c in kids)
-            yield node.path, _hash(look), _hash(" ".join(_text(node).split()))
-        stack += [c for c in kids if not c.main]
+            yield node.path, _key(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE and not c.main]
 
 
 def _hash(text: str) -> int:
@@ -204,7 +207,7 @@ def _hash(text: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def main_text(root: Node, removed: frozenset[str] | set[str] = frozenset()) -> str:
+def main_text(root: Node, removed: frozenset[int] = frozenset()) -> str:
     """The blocks of the remaining branches in page order, joined by two line ends.
 
     A page with an article or main element is read from its outermost ones alone.
@@ -222,7 +225,7 @@ def main_text(root: Node, removed: frozenset[str] | set[str] = frozenset()) -> s
         for c in node.children:
             if isinstance(c, str):
                 piece.append(c)
-            elif c.noise or (not c.main and c.path in removed):
+            elif c.noise or (removed and not c.main and c.tag not in _INLINE and _key(c) in removed):
                 if c.tag not in _INLINE:
                     close()
             elif c.tag == "br":
@@ -259,37 +262,25 @@ def host_of(url: str | None) -> str:
 
 
 def style_tree(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(host, path, pages, importance): the merged tree of each host with at least ``PAGES`` pages."""
+    """(host, node, pages, importance): the contents of the merged tree, of style nodes on at least ``PAGES`` pages."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host, seen = host_of(url), set()
-                out.append((host, "", 0, 0))
-                for path, look, content in style_nodes(parse(source or "")):
-                    if path not in seen:  # a page counts once for each style node
-                        seen.add(path)
-                        out.append((host, path, look, content))
+                root, host = parse(source or ""), host_of(url)
+                page = _hash(main_text(root))
+                out += [(host, page, _hash(path), key) for path, key in set(style_nodes(root))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                names=["host", "path", "look", "content"],
+                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                names=["host", "page", "path", "node"],
             )
 
-    seen = pages.select(url_col, html_col).mapInArrow(nodes, "host string, path string, look long, content long")
-    counted = written(seen.groupBy("host", "path", "look", "content").agg(F.count(F.lit(1)).alias("n")), "style-nodes")
-
-    def entropy(feature: str, name: str) -> DataFrame:
-        each = counted.groupBy("host", "path", feature).agg(F.sum("n").alias("n"))
-        # H = log m - (sum n log n) / m, as a share of log m.
-        total = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-        share = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-        return total.select("host", "path", F.col("m").alias("pages"), share.alias(name))
-
-    look = entropy("look", "look")
-    content = entropy("content", "content").drop("pages")
-    both = look.join(content, ["host", "path"])
-    return both.select("host", "path", "pages", F.greatest("look", "content").alias("importance")).where(f"pages >= {PAGES} and path <> ''")
+    seen = pages.select(url_col, html_col).mapInArrow(nodes, "host string, page long, path long, node long")
+    seen = written(seen.distinct(), "style-nodes")
+    have = seen.groupBy("host", "path").agg(F.count_distinct("page").alias("pages")).where(f"pages >= {PAGES}")
+    each = seen.groupBy("host", "path", "node").agg(F.count_distinct("page").alias("n"))
+    return each.join(have, ["host", "path"]).select("host", "node", "pages", (1 - F.log("n") / F.log("pages")).alias("importance"))
 
 
 def extract(
@@ -308,18 +299,18 @@ def extract(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     tree = style_tree(rows, "page_id", "url", "html")
     low = tree.where(F.col("importance") < importance)
-    removed = low.groupBy("host").agg(F.collect_list("path").alias("removed"))
+    removed = low.groupBy("host").agg(F.collect_set("node").alias("removed"))
     removed = written(removed, "style-removed")
     host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
     if removed.isEmpty():
-        found = rows.withColumn("removed", F.lit(None).cast("array<string>"))
+        found = rows.withColumn("removed", F.lit(None).cast("array<long>"))
     else:
         found = rows.withColumn("host", host("url")).join(removed, "host", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
-                main_text(parse(source or ""), frozenset(() if gone is None else gone))
+                main_text(parse(source or ""), frozenset(() if gone is None else map(int, gone)))
                 for source, gone in zip(batch["html"], batch["removed"])
             ]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})

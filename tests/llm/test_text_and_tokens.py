@@ -223,6 +223,16 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert got[99] == "Same words on all pages\n\nOwn text 99\n\nMore 99"  # too few pages to judge
 
 
+def test_style_tree_keeps_other_paragraphs_and_copies(spark):
+    page = "<body><p>Own text {n}</p><p>All rights reserved</p></body>"
+    same = [(100 + n, "http://copies.example/", "<body><p>One text</p><p>Another</p></body>") for n in range(10)]
+    own = [(200 + n, "http://copies.example/", f"<body><p>Other {n}</p></body>") for n in range(2)]
+    table = spark.createDataFrame([(n, "http://h.example/", page.format(n=n)) for n in range(12)] + same + own, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(table))}
+    assert [got[n] for n in range(12)] == [f"Own text {n}" for n in range(12)]
+    assert got[103] == "One text\n\nAnother" and got[201] == "Other 1"
+
+
 def test_pages_odd(spark):
     table = spark.createDataFrame(
         [(1, None, None, "x"), (None, "http://[bad", "<p>a", "x"), (2, "u", "<p>b</p>", None), (2, "u", "<p>b</p>", None), (3, "u", "<p>" + "w " * 200000, "")],
