@@ -10,9 +10,9 @@ The importance of a content on d of P pages is its information, log(P / d), as a
 share of the greatest possible, log P. Nodes whose content is of low importance
 (the same notice on all pages of a host) go, other nodes of their path stay. The
 branches that HTML itself or its class names call menus, headers, footers,
-sidebars, notices, adverts, forms or comments go as well. A node inside the page's
-article, and any node of a host with too few pages to judge, is never removed
-for low importance alone.
+sidebars, notices, adverts, forms or comments go as well. This holds inside the
+page's article too. No node of a host with too few pages to judge is removed for
+low importance alone.
 
 The statistics are grouped counts with map-side sums over distinct rows. The
 contents to remove go to the pages by a join on the host, one row for each host;
@@ -193,13 +193,13 @@ def _key(node: Node) -> int:
 
 
 def style_nodes(root: Node) -> Iterator[tuple[str, int]]:
-    """(path, key) of the block nodes outside noise and outside the article."""
+    """(path, key) of the block nodes outside noise."""
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.parent is not None and node.tag not in ("html", "body") and not node.main:
+        if node.parent is not None and node.tag not in ("html", "body"):
             yield node.path, _key(node)
-        stack += [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE and not c.main]
+        stack += [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE]
 
 
 def _hash(text: str) -> int:
@@ -225,7 +225,7 @@ def main_text(root: Node, removed: frozenset[int] = frozenset()) -> str:
         for c in node.children:
             if isinstance(c, str):
                 piece.append(c)
-            elif c.noise or (removed and not c.main and c.tag not in _INLINE and _key(c) in removed):
+            elif c.noise or (removed and c.tag not in _INLINE and _key(c) in removed):
                 if c.tag not in _INLINE:
                     close()
             elif c.tag == "br":

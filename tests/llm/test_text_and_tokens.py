@@ -233,6 +233,14 @@ def test_style_tree_keeps_other_paragraphs_and_copies(spark):
     assert got[103] == "One text\n\nAnother" and got[201] == "Other 1"
 
 
+@pytest.mark.parametrize("outer", ["main", "article"])
+def test_style_tree_acts_inside_the_article(spark, outer):
+    page = "<body><{0}><div class=x><p>Read our other pages</p></div><p>Own text {1}</p><p>More {1}</p></{0}></body>"
+    table = spark.createDataFrame([(n, "http://h.example/", page.format(outer, n)) for n in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(table))}
+    assert [got[n] for n in range(12)] == [f"Own text {n}\n\nMore {n}" for n in range(12)]
+
+
 def test_pages_odd(spark):
     table = spark.createDataFrame(
         [(1, None, None, "x"), (None, "http://[bad", "<p>a", "x"), (2, "u", "<p>b</p>", None), (2, "u", "<p>b</p>", None), (3, "u", "<p>" + "w " * 200000, "")],
