@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -43,3 +44,27 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """The session sends Python about ``size`` bytes at a time from now on, or one row, where the default holds."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(size))
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], n: str, spread_by: list[str], hot: int = 1000, spread: int = 64) -> DataFrame:
+    """``rows`` joined with the one row of ``unique`` for each key, also where a key holds a third of all rows.
+
+    ``unique`` is a written table whose column ``n`` (dropped) counts the key's
+    rows. Keys with over one in ``hot`` of all rows, ``hot`` keys at most, are
+    dealt to ``spread`` tasks by a hash of ``spread_by``.
+    """
+    total = unique.agg(F.sum(n)).first()[0] or 0
+    large = unique.where((F.col(n) * hot > total) & (F.col(n) > 4096)).select(*on, F.lit(True).alias("__hot"))  # fewer than ``hot`` rows
+    if large.isEmpty():
+        return rows.join(unique.drop(n), on)
+    salted = rows.join(F.broadcast(large), on, "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")).otherwise(0))
+    each = F.explode(F.sequence(F.lit(0), F.when((F.col(n) * hot > total) & (F.col(n) > 4096), F.lit(spread - 1)).otherwise(0)))
+    return salted.join(unique.withColumn("__salt", each).drop(n), [*on, "__salt"]).drop("__hot", "__salt")
