@@ -15,7 +15,7 @@ from .functions import naming, text
 from .operators import catalog
 from .plans import process as plans
 from .plans.process import Settings
-from .sources import collection, logs
+from .sources import collection, logs, scratch
 
 
 def _spark() -> SparkSession:
@@ -34,7 +34,9 @@ def doctor(_: argparse.Namespace) -> int:
 
 
 def scan(a: argparse.Namespace) -> int:
-    tracks = plans.scanned(_spark(), Settings(a.music_dir, "", collection=a.collection)).cache()
+    spark = _spark()
+    settings = Settings(a.music_dir, "", collection=a.collection, library_root=a.library_root, library_app=a.library_app).located(spark)
+    tracks = scratch.written(plans.scanned(spark, settings), "scan")
     shown = tracks.orderBy(text.path_order(F.col("path")))
     for row in catalog.listing(shown.limit(a.limit) if a.limit else shown).toLocalIterator():
         print(row[0])
@@ -76,16 +78,17 @@ def verify(a: argparse.Namespace) -> int:
 
 def calibrate(a: argparse.Namespace) -> int:
     spark = _spark()
-    if not a.collection:
+    where = Settings("", a.output_dir, collection=a.collection, log=a.log, library_root=a.library_root, library_app=a.library_app).located(spark)
+    if not where.collection:
         raise LibraryError("collection not found")
-    index = catalog.collection_index(collection.read_ordered(spark, a.collection))
+    index = catalog.collection_index(collection.read_ordered(spark, where.collection))
     track = catalog.single_track(a.audio, index).where(text.full(F.col("audio_id")).isNotNull())
-    log = logs.entries(logs.lines(spark, a.log)) if a.log else spark.createDataFrame([], "line_no bigint, title string, path string, offset string")
+    log = logs.entries(logs.lines(spark, where.log)) if where.log else spark.createDataFrame([], "line_no bigint, title string, path string, offset string")
     words = naming.hash_words(F.col("audio_id"))
     row = (
-        track.join(catalog.latest_logged(log, a.stems_dir), "title", "left")
+        track.join(catalog.latest_logged(log, a.output_dir), "title", "left")
         .withColumn("words", words)
-        .select("logged_path", naming.native_path(a.stems_dir, F.col("words")).alias("path"), naming.file_name(F.col("words")).alias("name"))
+        .select("logged_path", naming.native_path(a.output_dir, F.col("words")).alias("path"), naming.file_name(F.col("words")).alias("name"))
         .first()
     )
     if row is None or row["name"] is None:
@@ -108,7 +111,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=0)
     p.set_defaults(run=scan)
     p = commands.add_parser("process")
-    for name in ("--music-dir", "--stems-dir"):
+    for name in ("--music-dir", "--output-dir"):
         p.add_argument(name, required=True)
     for name in ("--collection", "--log", "--state-dir"):
         p.add_argument(name)
@@ -125,7 +128,7 @@ def parser() -> argparse.ArgumentParser:
         ("--limit", int, 0),
     ):
         p.add_argument(name, type=kind, default=default)
-    p.add_argument("--codec", default="pcm")
+    p.add_argument("--codec", choices=list(plans.CODECS), default="pcm")
     for name in ("--force", "--reprocess-existing", "--dry-run", "--continue-on-error"):
         p.add_argument(name, action="store_true")
     p.add_argument("--no-update-collection", dest="update_collection", action="store_false")
@@ -137,9 +140,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--collection")
     p.add_argument("--log")
     p.add_argument("--audio", required=True)
-    p.add_argument("--stems-dir", required=True)
+    p.add_argument("--output-dir", required=True)
     p.add_argument("--stem-file")
     p.set_defaults(run=calibrate)
+    for name in ("scan", "process", "calibrate"):
+        for option in ("--library-root", "--library-app"):
+            commands.choices[name].add_argument(option)
     return top
 
 

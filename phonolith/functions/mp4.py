@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-# Boxes that hold boxes, and the metadata of the five-stream container.
+# Boxes that hold boxes, and the metadata of the five-stream container with its keys.
 PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"edts", b"dinf"}
 SLOTS = ("master", "drums", "bass", "other", "vocals")
 METADATA = {
@@ -139,17 +141,13 @@ def five_audio_streams(probe: Column) -> Column:
 
 
 def checks(info: Column) -> Column:
-    """Names of the failed checks of a container's description, in order."""
-    tests = [
-        ("major brand mp42", info.contains("Major Brand mp42")),
-        ("stem metadata", info.contains("UDTA types:") & info.contains("\tstem:")),
-        ("metadata version 2", info.contains('"version":2')),
-        ("vocals slot", info.contains('"name":"Vocals"')),
-        ("all tracks enabled", ~info.contains("Disabled In Movie")),
-        ("no alternate track group", ~info.contains("Alternate Group ID")),
-        ("no root IOD", ~info.contains("File has root IOD")),
-    ]
-    return F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests]), lambda n: n.isNotNull())
+    """What a container's description lacks or has too much, one text for each failed test, in order."""
+    # The texts that the describing program writes.
+    need = {"brand is not mp42": ["Major Brand mp42"], "no slot metadata box": ["UDTA types:", "\tstem:"], "metadata is not of version 2": ['"version":2'], "last slot has no name": ['"name":"Vocals"']}
+    bar = {"a track is off": "Disabled In Movie", "tracks are alternates": "Alternate Group ID", "an object descriptor is at the root": "File has root IOD"}
+    holds = {label: reduce(and_, (info.contains(t) for t in texts)) for label, texts in need.items()}
+    holds |= {label: ~info.contains(t) for label, t in bar.items()}
+    return F.filter(F.array(*[F.when(~ok, F.lit(label)) for label, ok in holds.items()]), lambda n: n.isNotNull())
 
 
 def plan_json(output: Column, path: Column, codec: str, bitrate: int, sample_rate: int, backend: str) -> Column:

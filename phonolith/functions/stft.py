@@ -35,10 +35,15 @@ def signal(z: np.ndarray, n_fft: int, hop: int, length: int) -> np.ndarray:
     """The inverse. Exact for inner samples without the top bin; outer frames are missing at the edges."""
     full = np.pad(z, ((2, 2), (0, 1)))
     frames = np.fft.irfft(full, n=n_fft, axis=1) * math.sqrt(n_fft) * hann(n_fft)
-    out, norm = np.zeros(hop * (len(full) - 1) + n_fft), np.zeros(hop * (len(full) - 1) + n_fft)
-    for k, frame in enumerate(frames):
-        out[k * hop : k * hop + n_fft] += frame
-        norm[k * hop : k * hop + n_fft] += hann(n_fft) ** 2
+    # Each frame is cut into steps of one hop; the steps that meet are summed over all frames at once.
+    steps = -(-n_fft // hop)
+    frames = np.pad(frames, ((0, 0), (0, steps * hop - n_fft))).reshape(len(full), steps, hop)
+    square = np.pad(hann(n_fft) ** 2, (0, steps * hop - n_fft)).reshape(steps, hop)
+    out, norm = np.zeros((len(full) + steps, hop)), np.zeros((len(full) + steps, hop))
+    for step in range(steps):
+        out[step : step + len(full)] += frames[:, step]
+        norm[step : step + len(full)] += square[step]
+    out, norm = out.reshape(-1), norm.reshape(-1)
     start = n_fft // 2 + hop // 2 * 3
     return (out / np.maximum(norm, 1e-8))[start : start + length]
 
@@ -53,6 +58,22 @@ def stft(x: Column, n_fft: int, hop: int) -> Column:
     return run(x)
 
 
+def magnitude(z: Column) -> Column:
+    """Absolute values of a frame's bins."""
+    return F.zip_with(z["re"], z["im"], lambda re, im: F.hypot(re, im))
+
+
+def as_channels(channels: Column) -> Column:
+    """An array of complex channels (struct re, im) as twice as many real ones: each one's real, then its imaginary part."""
+    return F.flatten(F.transform(channels, lambda z: F.array(z["re"], z["im"])))
+
+
+def from_channels(real: Column) -> Column:
+    """``as_channels`` undone."""
+    at = F.sequence(F.lit(0), F.floor(F.size(real) / 2).cast("int") - 1)
+    return F.transform(at, lambda i: F.struct(F.get(real, 2 * i).alias("re"), F.get(real, 2 * i + 1).alias("im")))
+
+
 def istft(frames: Column, n_fft: int, hop: int, length: int) -> Column:
     @F.pandas_udf("array<double>")
     def run(spectra: pd.Series) -> pd.Series:

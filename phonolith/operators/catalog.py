@@ -47,9 +47,31 @@ def enrich(scanned: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def enrich_resolved(scanned: DataFrame, index: DataFrame, resolved: str = "resolved") -> DataFrame:
+    """``enrich`` where a file is looked up by its path, and by its resolved path only where that finds nothing.
+
+    Both keys go through one join: a file asks with each of its keys, and the answer of the first one counts.
+    """
+    keys = F.array(F.struct(F.lit(0).alias("turn"), text.nfc(F.col("path")).alias("key")), F.struct(F.lit(1).alias("turn"), text.nfc(F.col(resolved)).alias("key")))
+    asked = scanned.select("path", resolved).distinct().select("path", resolved, F.explode(keys).alias("k")).select("path", resolved, "k.turn", "k.key")
+    e = index.select("key", F.struct(F.col("title").alias("t"), F.col("artist").alias("a"), F.col("audio_id").alias("i")).alias("e"))
+    found = asked.join(e, "key").groupBy("path", resolved).agg(F.min_by("e", "turn").alias("e"))
+    kept = [c for c in scanned.columns if c not in ("title", "artist", "audio_id")]
+    return scanned.join(found, ["path", resolved], "left").select(
+        *kept,
+        F.coalesce(text.full(F.col("e.t")), F.col("title")).alias("title"),
+        F.coalesce(text.full(F.col("e.a")), F.col("artist")).alias("artist"),
+        F.col("e.i").alias("audio_id"),
+    )
+
+
 def single_track(path: str, index: DataFrame) -> DataFrame:
-    """One file: the collection's path, its title or the bare stem, its artist as it is; else names from the file."""
-    one = index.sparkSession.createDataFrame([(path,)], "path string")
+    """``single_tracks`` of one file."""
+    return single_tracks(index.sparkSession.createDataFrame([(path,)], "path string"), index)
+
+
+def single_tracks(one: DataFrame, index: DataFrame) -> DataFrame:
+    """Named files (path): the collection's path, its title or the bare stem, its artist as it is; else names from the file."""
     e = index.select("key", F.col("path").alias("e_path"), F.col("title").alias("e_title"), F.col("artist").alias("e_artist"), "audio_id")
     j = one.withColumn("key", text.nfc(F.col("path"))).join(e, "key", "left")
     found, p = F.col("e_path").isNotNull(), F.col("path")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, size bigint, mtime_ns bigint, status string, output_path string, error string, updated_at double, seq bigint"
+#: The number of the last append of this process.
+_last = 0
 STATUSES = ("pending", "running", "done", "error")
 
 
@@ -37,13 +41,21 @@ class JobLog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
     def append(self, rows: DataFrame) -> None:
-        """Upserts rows of the schema without ``seq``; later appends win."""
-        seq = (self.rows().agg(F.max("seq")).first()[0] or 0) + 1
+        """Upserts rows of the schema without ``seq``; later appends win, and of rows that repeat a path the latest ``updated_at``.
+
+        ``seq`` is the time in nanoseconds, so that writers need not read the log.
+        """
+        global _last
+        _last = max(_last + 1, time.time_ns())
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names[:-1]], F.lit(seq).cast("bigint").alias("seq"))
+        full = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names[:-1]], F.lit(_last).cast("bigint").alias("seq"))
+        rest = F.struct(*[F.col(c) for c in names if c != "path"])
+        order = F.struct(F.col("updated_at"), F.xxhash64("status", "size", "mtime_ns", "output_path", "error"))
+        full = full.groupBy("path").agg(F.max_by(rest, order).alias("j")).select("path", "j.*")
         self.spark.createDataFrame([], SCHEMA).unionByName(full).write.mode("append").parquet(self.folder)
 
     def rows(self) -> DataFrame:

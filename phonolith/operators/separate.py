@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import SeparationError
 
@@ -26,9 +27,18 @@ def register(name: str, build: Callable[[], Callable[[np.ndarray], np.ndarray]])
     _BUILDERS[name] = build
 
 
+def known() -> list[str]:
+    return sorted(_BUILDERS)
+
+
 register("linear-stand-in", lambda: lambda x: x[:, None, :] * _SHARES[None, :, None])
 
 
+def named(parts: DataFrame, names: tuple[str, ...] = SLOTS) -> DataFrame:
+    """``slot`` as a name by its place; slots without a name go."""
+    return parts.where(F.col("slot") < len(names)).withColumn("slot", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1))
+
+
 def separate(chunks: DataFrame, model: str, length: int, batch: int = 16) -> DataFrame:
     """(keys, chunk, samples) to (keys, chunk, slot, samples).
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.audio import clipped
+
 
 def stride_of(length: int, overlap: float) -> int:
     """Samples between chunk starts."""
@@ -80,14 +82,14 @@ def normalise(signal: DataFrame, keys: list[str], eps: float = 1e-5) -> DataFram
     return signal.join(statistics(signal, keys), keys).withColumn("y", (F.col("x") - F.col("mean")) / (F.lit(eps) + F.col("std"))).drop("n")
 
 
-def gate(master: DataFrame, stems: DataFrame, keys: list[str], flat: Column, every: int = 100) -> DataFrame:
-    """Compares the sum of the stems with the master: rms ratio, uncentred cosine of every n-th sample, verdict.
+def gate(master: DataFrame, parts: DataFrame, keys: list[str], flat: Column, every: int = 100) -> DataFrame:
+    """Compares the sum of the parts with the master: rms ratio, uncentred cosine of every n-th sample, verdict.
 
-    ``master`` and ``stems``: keys, t, x (``stems`` one row per stem). Samples
+    ``master`` and ``parts``: keys, t, x (``parts`` one row per slot). Samples
     count up to the shorter length. ``flat`` is the sample's place in the
     channel-major order. A silent master passes.
     """
-    total = stems.groupBy(*keys, "t").agg(F.sum("x").alias("s"))
+    total = parts.groupBy(*keys, "t").agg(F.sum("x").alias("s"))
     both = master.join(total, [*keys, "t"])
     every_n = flat % every == 0
     part = lambda c: F.sum(F.when(every_n, c).otherwise(0.0))
@@ -106,11 +108,6 @@ def gate(master: DataFrame, stems: DataFrame, keys: list[str], flat: Column, eve
     return sums.select(*keys, ratio.alias("ratio"), cos.alias("cos"), verdict.alias("verdict"))
 
 
-def clipped(x: Column) -> Column:
-    """Missing and NaN samples are 0; the rest stays within 0.99."""
-    return F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0))))
-
-
 def interleave(signal: DataFrame, keys: list[str], slots: int) -> DataFrame:
     """One row per key and t with a column for each slot, shorter slots padded with zeros."""
     return signal.groupBy(*keys, "t").agg(

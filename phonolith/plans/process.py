@@ -11,19 +11,22 @@ import os
 import time
 import wave
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CollectionError, LibraryError
 from ..functions import mp4, naming, text
 from ..operators import catalog, jobs, separate, signal
-from ..sources import collection, files, logs, wav
+from ..sources import collection, files, logs, scratch, wav
 from ..views import view
 
+#: Only PCM is written; the others name what a plan asks of an encoder.
+CODECS = ("pcm", "aac", "alac")
 PROFILES = {"silent": 4, "ultra": 12, "extreme": 8, "balanced": 8}
 
 
@@ -32,7 +35,7 @@ class Settings:
     """Settings of a run; ``check`` reports the first one out of range."""
 
     music_dir: str
-    stems_dir: str
+    output_dir: str
     collection: str | None = None
     log: str | None = None
     state_dir: str | None = None
@@ -52,6 +55,21 @@ class Settings:
     dry_run: bool = False
     update_collection: bool = True
     continue_on_error: bool = False
+    #: Where the collection is looked for if none is named, and the name of its application.
+    library_root: str | None = None
+    library_app: str | None = None
+
+    def located(self, spark: SparkSession) -> Settings:
+        """With the collection and the log that are meant where none is named: the newest one, and the log beside it."""
+        found = self.collection
+        if found is None and self.library_root and self.library_app:
+            found = collection.discover(spark, self.library_root, self.library_app)
+            if found is None:
+                raise CollectionError(f"no collection of {self.library_app} below {self.library_root}")
+        log = self.log
+        if log is None and found and self.library_app:
+            log = logs.log_path(found, self.library_app)
+        return replace(self, collection=found, log=log)
 
     def check(self) -> Settings:
         naming.known(self.algorithm)
@@ -63,6 +81,8 @@ class Settings:
             (self.segment > 0, "segment must be above 0"),
             (self.sample_rate > 0, "sample rate must be above 0"),
             (self.bitrate > 0, "bitrate must be above 0"),
+            (self.model in separate.known(), f"model must be one of {', '.join(separate.known())}"),
+            (self.codec in CODECS, f"codec must be one of {', '.join(CODECS)}"),
             (self.profile in PROFILES, f"profile must be one of {', '.join(PROFILES)}"),
         ):
             if not ok:
@@ -76,7 +96,7 @@ def flagship(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
     enriched = catalog.enrich(catalog.tracks(view(spark, sf_dir, "v_files")), catalog.collection_index(entries))
     first = enriched.where(F.col("audio_id").isNotNull()).orderBy(text.path_order(F.col("path"))).limit(limit)
     logged = spark.createDataFrame([], "title string, logged_path string")
-    return catalog.output_paths(first.select("path", "title", "artist", "audio_id"), logged, "/Stems")
+    return catalog.output_paths(first.select("path", "title", "artist", "audio_id"), logged, "/Outputs")
 
 
 def scanned(spark: SparkSession, s: Settings) -> DataFrame:
@@ -94,7 +114,7 @@ def planned(spark: SparkSession, s: Settings) -> DataFrame:
     if s.limit:
         tracks = tracks.orderBy(text.path_order(F.col("path"))).limit(s.limit)
     log = logs.entries(logs.lines(spark, s.log)) if s.log else spark.createDataFrame([], "line_no bigint, title string, path string, offset string")
-    return catalog.output_paths(tracks, catalog.latest_logged(log, s.stems_dir), s.stems_dir)
+    return catalog.output_paths(tracks, catalog.latest_logged(log, s.output_dir), s.output_dir)
 
 
 def pcm_path(output: str) -> str:
@@ -102,15 +122,48 @@ def pcm_path(output: str) -> str:
     return output.removesuffix(".mp4") + ".wav"
 
 
+#: Stands before the metadata in the PCM stand-in: a chunk that readers of samples pass over.
+_CHUNK = b"slot"
+
+
 def _ready(output: str | None) -> bool:
-    """Whether a finished file of five stereo streams is there."""
+    """Whether a whole file of five stereo streams with its slot metadata is there: cheap tests first."""
+    path = pcm_path(output or "")
     try:
-        with wave.open(pcm_path(output or ""), "rb") as w:
-            return w.getnchannels() == 2 * len(mp4.SLOTS) and w.getnframes() > 0
+        with wave.open(path, "rb") as w:
+            if w.getnchannels() != 2 * len(mp4.SLOTS) or not w.getnframes():
+                return False
+        expected = _metadata_chunk()
+        with open(path, "rb") as f:
+            f.seek(-len(expected), os.SEEK_END)
+            return f.read() == expected
     except (OSError, EOFError, wave.Error):
         return False
 
 
+def _metadata_chunk() -> bytes:
+    text = mp4.metadata_json().encode()
+    return _CHUNK + len(text).to_bytes(4, "little") + text + b"\0" * (len(text) % 2)
+
+
+def _add_metadata(path: str) -> None:
+    """Puts the metadata behind the samples of a written file."""
+    with open(path, "r+b") as f:
+        f.seek(0, os.SEEK_END)
+        f.write(_metadata_chunk())
+        size = f.tell()
+        f.seek(4)
+        f.write((size - 8).to_bytes(4, "little"))
+
+
+def ready(outputs: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(_ready).astype(bool)
+
+    return run(outputs)
+
+
 def chunked(blocks: DataFrame, length: int, stride: int) -> DataFrame:
     """Chunks of ``length`` from blocks of ``stride`` samples: a block and what follows it."""
     more = -(-length // stride) - 1
@@ -144,7 +197,7 @@ def reassembled(parts: DataFrame, length: int, stride: int) -> DataFrame:
     return parts.withColumn("chunks", chunks).select("path", "sample_rate", "channel", F.col("chunk").alias("block"), "slot", add("chunks").alias("samples"))
 
 
-def checked(blocks: DataFrame, stems: DataFrame, stride: int, every: int = 100) -> DataFrame:
+def checked(blocks: DataFrame, separated: DataFrame, stride: int, every: int = 100) -> DataFrame:
     """(path, ratio, cos, verdict) of each track: ``signal.gate`` on blocks."""
 
     @F.pandas_udf("n long, xx double, ss double, ab double, aa double, bb double")
@@ -158,7 +211,7 @@ def checked(blocks: DataFrame, stems: DataFrame, stride: int, every: int = 100)
 
     keys = ["path", "channel", "block"]
     sizes = blocks.where("channel = 0").groupBy("path").agg(F.sum(F.size("samples")).alias("length"))
-    both = blocks.join(stems.groupBy(*keys).agg(F.collect_list("samples").alias("parts")), keys).join(sizes, "path")
+    both = blocks.join(separated.groupBy(*keys).agg(F.collect_list("samples").alias("parts")), keys).join(sizes, "path")
     first = F.col("channel") * F.col("length") + F.col("block") * stride
     t = both.select("path", sums("samples", "parts", first).alias("s")).groupBy("path").agg(*[F.sum(f"s.{c}").alias(c) for c in ("n", "xx", "ss", "ab", "aa", "bb")])
     rms, silent = F.sqrt(F.col("xx") / F.col("n")), F.sqrt(F.col("xx") / F.col("n")) < 1e-5
@@ -168,14 +221,14 @@ def checked(blocks: DataFrame, stems: DataFrame, stride: int, every: int = 100)
     return t.select("path", ratio.alias("ratio"), cos.alias("cos"), F.when(silent, "silent").when(fails, "failed").otherwise("passed").alias("verdict"))
 
 
-def written(blocks: DataFrame, stems: DataFrame, outputs: DataFrame) -> DataFrame:
+def written(blocks: DataFrame, separated: DataFrame, outputs: DataFrame) -> DataFrame:
     """Writes each track's five stereo streams side by side; returns (path, output, frames).
 
     A task writes a file block by block under another name and renames it at the
     end, so a file is whole or absent.
     """
     master = blocks.select("path", "sample_rate", "channel", "block", F.lit(-1).alias("slot"), F.transform("samples", lambda v: v.cast("double")).alias("samples"))
-    rows = master.unionByName(stems).join(outputs, "path")
+    rows = master.unionByName(separated).join(outputs, "path")
     per_block = rows.groupBy("path", "output", "sample_rate", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "channel", "samples"))).alias("streams"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,6 +237,7 @@ def written(blocks: DataFrame, stems: DataFrame, outputs: DataFrame) -> DataFram
         def close() -> None:
             if out is not None:
                 out.close()
+                _add_metadata(temp)
                 os.replace(temp, pcm_path(now[1]))
                 done.append((*now, frames))
 
@@ -209,16 +263,52 @@ def written(blocks: DataFrame, stems: DataFrame, outputs: DataFrame) -> DataFram
     return ordered.mapInPandas(write, "path string, output string, frames long")
 
 
+def aligned(blocks: DataFrame, lead: int, stride: int) -> DataFrame:
+    """Blocks without the first ``lead`` samples of each track's channel and slot, numbered from 0 again."""
+    skip, rest = divmod(lead, stride)
+    over = Window.partitionBy("path", "channel", "slot").orderBy("block")
+    nothing = F.array().cast("array<double>")
+    joined = F.concat(F.slice("samples", rest + 1, stride), F.slice(F.coalesce(F.lead("samples").over(over), nothing), 1, rest))
+    out = blocks.withColumn("samples", joined).withColumn("block", F.col("block") - skip)
+    return out.where((F.col("block") >= 0) & (F.size("samples") > 0))
+
+
+def separated(spark: SparkSession, wavs: DataFrame, s: Settings, length: int, stride: int) -> DataFrame:
+    """path, sample_rate, channel, block, slot, samples: the parts, as the mean over ``s.shifts`` places of the chunks' grid.
+
+    The places are spread evenly over half a second, so a run gives the same again.
+    """
+    batch = s.batch_size or PROFILES[s.profile]
+
+    def at(lead: int) -> DataFrame:
+        blocks = wav.decoded(wavs, stride, s.sample_rate, lead).where("error is null").drop("error")
+        parts = separate.separate(chunked(blocks, length, stride), s.model, length, batch)
+        return aligned(reassembled(parts, length, stride), lead, stride)
+
+    if not s.shifts:
+        return at(0)
+    most = s.sample_rate // 2
+    moved = reduce(DataFrame.unionByName, [at(most - most * k // s.shifts) for k in range(s.shifts)])
+
+    @F.pandas_udf("array<double>")
+    def mean(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: np.mean([np.asarray(x, float) for x in v], axis=0))
+
+    keys = ["path", "sample_rate", "channel", "block", "slot"]
+    return moved.groupBy(*keys).agg(F.collect_list("samples").alias("all")).select(*keys, mean("all").alias("samples"))
+
+
 def process(spark: SparkSession, s: Settings) -> DataFrame:
     """Runs the plan. One row per track: path, output, status (done, skipped, planned, error), message.
 
-    Errors stay with their track. States are recorded per result, so a run that
-    breaks off starts again where it stopped.
+    Errors stay with their track. What a step decides is written to the shared
+    folder before the next one acts on it, so a lost executor changes no answer.
+    States are recorded per result, so a run that breaks off starts again where it
+    stopped.
     """
-    s.check()
-    plan = planned(spark, s).select("path", "size", "mtime_ns", "title", "output", "error").cache()
-    ready = F.udf(_ready, "boolean")
-    known = plan.where("error is null").select("path", "output", ready("output").alias("ready")).cache()
+    s = s.located(spark).check()
+    plan = scratch.written(planned(spark, s).select("path", "size", "mtime_ns", "title", "output", "error"), "plan")
+    known = scratch.written(plan.where("error is null").select("output").distinct().select("output", ready(F.col("output")).alias("ready")), "ready")
     again = s.force or s.reprocess_existing
     todo = jobs.pending(plan.where("error is null"), known.where("ready"), "output", again)
     skipped = jobs.skipped(plan.where("error is null"), known.where("ready"), "output", again)
@@ -228,31 +318,34 @@ def process(spark: SparkSession, s: Settings) -> DataFrame:
     if s.dry_run:
         text_plan = mp4.plan_json(F.col("output"), F.col("path"), s.codec, s.bitrate, s.sample_rate, s.model)
         return out.unionByName(todo.select("path", "output", F.lit("planned").alias("status"), text_plan.alias("message")))
-    if not again:
-        out.cache().count()  # before the outputs come to exist
     length = int(s.segment * s.sample_rate)
     stride = signal.stride_of(length, s.overlap)
-    wavs = files.contents(spark, s.music_dir)
-    todo = todo.cache()
-    blocks = wav.blocks(wavs.join(todo.select("path"), "path", "left_semi"), stride).cache()
-    parts = separate.separate(chunked(blocks, length, stride), s.model, length, s.batch_size or PROFILES[s.profile])
-    stems = reassembled(parts, length, stride).cache()
-    verdicts = checked(blocks, stems, stride).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # few files at a time in a task
+    wavs = files.contents(spark, s.music_dir).join(todo.select("path"), "path", "left_semi")
+    read = scratch.written(wav.decoded(wavs, stride, s.sample_rate), "blocks")
+    failed = read.where("error is not null").select("path", F.col("error").alias("why"))
+    blocks = read.where("error is null").drop("error")
+    parts = scratch.written(separated(spark, wavs.join(failed, "path", "left_anti"), s, length, stride), "parts")
+    verdicts = scratch.written(checked(blocks, parts, stride), "verdicts")
     good = todo.join(verdicts.where("verdict <> 'failed'"), "path", "left_semi").select("path", "output")
-    files_written = written(blocks.join(good, "path", "left_semi"), stems.join(good, "path", "left_semi"), good).cache()
+    files_written = scratch.written(written(blocks.join(good, "path", "left_semi"), parts.join(good, "path", "left_semi"), good), "outputs")
     note = F.format_string("corr=%.3f, rms_ratio=%.3f", "cos", "ratio")
     result = (
         todo.select("path", "output")
         .join(verdicts, "path", "left")
         .join(files_written.select("path", "frames"), "path", "left")
+        .join(failed, "path", "left")
         .select(
             "path",
             "output",
             F.when(F.col("frames").isNotNull(), "done").otherwise("error").alias("status"),
-            F.when(F.col("verdict") == "silent", "silent master").when(F.col("verdict").isNull(), "cannot decode: only PCM WAV is read here").otherwise(note).alias("message"),
+            F.when(F.col("verdict") == "silent", "silent master")
+            .when(F.col("verdict").isNull(), F.coalesce("why", F.lit("cannot decode: only PCM WAV is read here")))
+            .otherwise(note)
+            .alias("message"),
         )
     )
-    out = out.unionByName(result).select(*kind).cache()
+    out = scratch.written(out.unionByName(result).select(*kind), "results")
     if s.state_dir:
         log = jobs.JobLog(spark, s.state_dir)
         now = plan.select("path", "size", "mtime_ns").join(out, "path")

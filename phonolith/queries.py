@@ -10,14 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import mp4, naming, stft, text
-from .operators import catalog, jobs, signal
-from .sources import logs
+from .functions import audio, mp4, naming, stft, text
+from .operators import catalog, jobs, separate, signal
+from .plans import process
+from .sources import collection, files, logs, scratch, wav
 from .views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-ROOT = "/Stems"
+ROOT = "/Outputs"
 LENGTH, STRIDE = 32, signal.stride_of(32, 0.1)
 
 
@@ -34,7 +35,7 @@ def query(sql: str | None = None):
 # --- names ---------------------------------------------------------------------------------------
 
 _NATIVE = r"""
-ids as (select pos, audio_id, from_base64(audio_id) b from v_collection where pos < 1000000),
+ids as (select pos, audio_id, from_base64(audio_id) b from v_collection),
 words as (select pos, audio_id, list_transform(range(64), lambda w:
     ('0x' || hex(b[4*w+4:4*w+4]) || hex(b[4*w+3:4*w+3]) || hex(b[4*w+2:4*w+2]) || hex(b[4*w+1:4*w+1]))::bigint) w from (select pos, audio_id, hex(b) hx, b from ids) q),
 k as (select list_transform(range(64), lambda i: floor(abs(sin(i+1)) * 4294967296)::bigint) k,
@@ -74,20 +75,20 @@ def _collection(spark, sf_dir) -> DataFrame:
     return v.withColumn("path", text.collection_path(F.col("dir_value"), F.col("file_value")))
 
 
-@query("with " + _NATIVE.strip() + " select pos, bucket, name, concat('/Stems/', bucket, '/', name) path from names")
+@query("with " + _NATIVE.strip() + " select pos, bucket, name, concat('/Outputs/', bucket, '/', name) path from names")
 def native_name(spark, sf_dir):
     """SC6 to SC11: bucket, file name and path from the audio id."""
     words = F.col("words")
-    v = view(spark, sf_dir, "v_collection").where("pos < 1000000").withColumn("words", naming.hash_words(F.col("audio_id")))
+    v = view(spark, sf_dir, "v_collection").withColumn("words", naming.hash_words(F.col("audio_id")))
     return v.select("pos", naming.bucket(words).alias("bucket"), naming.file_name(words).alias("name"), naming.native_path(ROOT, words).alias("path"))
 
 
 @query("with " + _NATIVE.strip() + """ select i.pos, name computed, name = case when i.pos % 2 = 0 then name else 'x.stem.mp4' end matches
-  from names join (select pos from v_collection where pos < 1000000) i on names.pos = i.pos""")
+  from names join (select pos from v_collection) i on names.pos = i.pos""")
 def calibrate(spark, sf_dir):
     """FLT10, JN2: whether an existing file has the computed name."""
-    v = view(spark, sf_dir, "v_collection").where("pos < 1000000").withColumn("words", naming.hash_words(F.col("audio_id")))
-    existing = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("/Stems/001/"), naming.file_name(F.col("words")))).otherwise("/Stems/x.stem.mp4")
+    v = view(spark, sf_dir, "v_collection").withColumn("words", naming.hash_words(F.col("audio_id")))
+    existing = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("/Outputs/001/"), naming.file_name(F.col("words")))).otherwise("/Outputs/x.stem.mp4")
     return v.select("pos", naming.file_name(F.col("words")).alias("computed"), naming.calibration(F.col("words"), existing)[naming.ALGORITHM].alias("matches"))
 
 
@@ -157,7 +158,7 @@ lg as (select line_no, regexp_extract(line, 'Finished stem separation job for tr
    regexp_extract(line, 'Finished stem separation job for track "(.*?)" - result: successful: stem file stored to "(.*?)", with offset ([^,]+)', 2) path,
    regexp_extract(line, 'Finished stem separation job for track "(.*?)" - result: successful: stem file stored to "(.*?)", with offset ([^,]+)', 3) as "offset"
    from v_log where line like '%Finished stem separation job%'),
-logged as (select title, arg_max(path, line_no) logged_path from lg where path like '/Stems/%' group by title)"""
+logged as (select title, arg_max(path, line_no) logged_path from lg where path like '/Outputs/%' group by title)"""
 
 
 @query(f"with {_LOGGED.strip()} select line_no, title, path, \"offset\" from lg")
@@ -172,12 +173,12 @@ def log_latest_path(spark, sf_dir):
     return catalog.latest_logged(logs.entries(view(spark, sf_dir, "v_log")), ROOT)
 
 
-@query("with " + _NATIVE.strip() + f",{_LOGGED}" + """ select v.pos, coalesce(logged_path, concat('/Stems/', bucket, '/', name)) output_path,
-  logged_path is not null logged from (select pos, concat('T', pos::varchar) title from v_collection where pos < 1000000) v
+@query("with " + _NATIVE.strip() + f",{_LOGGED}" + """ select v.pos, coalesce(logged_path, concat('/Outputs/', bucket, '/', name)) output_path,
+  logged_path is not null logged from (select pos, concat('T', floor(pos / 4)::bigint::varchar) title from v_collection) v
   left join logged on v.title = logged.title join names on names.pos = v.pos""")
 def output_choice(spark, sf_dir):
     """PRJ7: the logged path, else the computed one."""
-    v = _collection(spark, sf_dir).where("pos < 1000000").withColumn("title", F.concat(F.lit("T"), F.col("pos").cast("string")))
+    v = _collection(spark, sf_dir).withColumn("title", F.concat(F.lit("T"), F.floor(F.col("pos") / 4).cast("string")))
     logged = catalog.latest_logged(logs.entries(view(spark, sf_dir, "v_log")), ROOT)
     out = catalog.output_paths(v, logged, ROOT).join(logged, "title", "left")
     return out.select("pos", F.col("output").alias("output_path"), F.col("logged_path").isNotNull().alias("logged"))
@@ -289,7 +290,7 @@ def normalise_stats(spark, sf_dir):
     return s.select("ch", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("""with v as (select vec_id // 4 g, vec_id % 4 slot, t, x from v_stems),
+@query("""with v as (select vec_id // 4 g, vec_id % 4 slot, t, x from v_parts),
 m as (select g, t, sum(x) x from v group by g, t),
 st as (select g, t, sum(case when g % 3 = 1 and slot = 3 then 0 when g % 3 = 2 then 2 * x else x end) s from v group by g, t),
 b as (select m.g, m.t, x, s from m join st on m.g = st.g and m.t = st.t),
@@ -298,21 +299,21 @@ a as (select g, sqrt(avg(x*x)) rms, sqrt(avg(s*s)) srms, sum(case when t % 7 = 0
 select g, round(srms / rms, 6) ratio, round(ab / (sqrt(aa) * sqrt(bb) + 1e-12), 6) cos,
   case when ab / (sqrt(aa) * sqrt(bb) + 1e-12) < 0.95 or srms / rms < 0.55 or srms / rms > 1.8 then 'failed' else 'passed' end verdict from a""")
 def stem_sum_gate(spark, sf_dir):
-    """AG5 to AG8: the stems' sum against the master."""
-    v = view(spark, sf_dir, "v_stems").selectExpr("vec_id div 4 g", "vec_id % 4 slot", "cast(t as bigint) t", "x")
+    """AG5 to AG8: the parts' sum against the master."""
+    v = view(spark, sf_dir, "v_parts").selectExpr("vec_id div 4 g", "vec_id % 4 slot", "cast(t as bigint) t", "x")
     master = v.groupBy("g", "t").agg(F.sum("x").alias("x"))
-    stems = v.withColumn("x", F.expr("case when g % 3 = 1 and slot = 3 then 0 when g % 3 = 2 then 2 * x else x end"))
-    out = signal.gate(master, stems, ["g"], F.col("t"), every=7)
+    parts = v.withColumn("x", F.expr("case when g % 3 = 1 and slot = 3 then 0 when g % 3 = 2 then 2 * x else x end"))
+    out = signal.gate(master, parts, ["g"], F.col("t"), every=7)
     return out.select("g", F.round("ratio", 6).alias("ratio"), F.round("cos", 6).alias("cos"), "verdict")
 
 
-@query("""with v as (select vec_id // 4 g, vec_id % 4 slot, t, x * 9 x from v_stems where t < 64 - 8 * (vec_id % 4))
+@query("""with v as (select vec_id // 4 g, vec_id % 4 slot, t, x * 9 x from v_parts where t < 64 - 8 * (vec_id % 4))
 select g, t, """ + ", ".join(
     f"round(greatest(-0.99, least(0.99, coalesce(max(case when slot = {s} then x end), 0.0))), 6) slot{s}" for s in range(4)
 ) + " from v group by g, t")
 def interleave_slots(spark, sf_dir):
     """AG4, SC12 to SC14: slots side by side, padded and clipped."""
-    v = view(spark, sf_dir, "v_stems").where("t < 64 - 8 * (vec_id % 4)").selectExpr("vec_id div 4 g", "vec_id % 4 slot", "cast(t as bigint) t", "x * 9 x")
+    v = view(spark, sf_dir, "v_parts").where("t < 64 - 8 * (vec_id % 4)").selectExpr("vec_id div 4 g", "vec_id % 4 slot", "cast(t as bigint) t", "x * 9 x")
     return signal.interleave(v, ["g"], 4).select("g", "t", *[F.round(f"slot{s}", 6).alias(f"slot{s}") for s in range(4)])
 
 
@@ -320,8 +321,6 @@ def interleave_slots(spark, sf_dir):
   from (select unnest(range(11025)) id) q""")
 def sine_source(spark, sf_dir):
     """SRC10: a quarter second of a 16-bit sine."""
-    from .sources import wav
-
     return wav.sine(spark, 440.0, 0.25, 44100)
 
 
@@ -329,7 +328,7 @@ _PADDED = """
 pos as (select unnest(range(92)) p), frames as (select unnest(range(2, 18)) f), ns as (select unnest(range(16)) n), bins as (select unnest(range(8)) k),
 src as (select p, case when q2 < 0 then -q2 when q2 > 63 then 126 - q2 else q2 end t from (
   select p, (case when p - 8 < 0 then 8 - p when p - 8 > 75 then 150 - (p - 8) else p - 8 end) - 6 q2 from pos) r),
-pad as (select vec_id, p, x from src join v_stems v on v.t = src.t),
+pad as (select vec_id, p, x from src join v_parts v on v.t = src.t),
 win as (select vec_id, f, n, x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) y from frames, ns, pad where p = 4 * f + n),
 z as (select vec_id, f, k, sum(y * cos(2 * pi() * k * n / 16)) / 4 re, -sum(y * sin(2 * pi() * k * n / 16)) / 4 im from win, bins group by vec_id, f, k)"""
 
@@ -391,11 +390,11 @@ def props_json(spark, sf_dir):
 
 
 @query("""select pos, o output_path, 'aac' codec, 256000 bitrate, n slots, 'separator:vocals' last_source, path master from (
-  select pos, path, concat('/Stems/', pos::varchar) o, 5 n from v_files) q""")
+  select pos, path, concat('/Outputs/', pos::varchar) o, 5 n from v_files) q""")
 def plan_json(spark, sf_dir):
     """SNK11, SNK12, PRJ10: plans written as JSON and read again."""
     v = view(spark, sf_dir, "v_files")
-    plan = mp4.plan_json(F.concat(F.lit("/Stems/"), F.col("pos").cast("string")), F.col("path"), "aac", 256000, 44100, "separator")
+    plan = mp4.plan_json(F.concat(F.lit("/Outputs/"), F.col("pos").cast("string")), F.col("path"), "aac", 256000, 44100, "separator")
     kind = "output string, codec string, bitrate int, sample_rate int, native boolean, streams array<struct<slot:string,path:string,source:string>>"
     p = v.select("pos", F.from_json(plan, kind).alias("p"))
     return p.select(
@@ -420,8 +419,8 @@ def stream_check(spark, sf_dir):
     return p.select("pos", mp4.five_audio_streams(probe).alias("c")).select("pos", "c.ok", "c.message")
 
 
-@query("""select p_partkey pos, list_filter([case when p_size % 2 = 0 then 'major brand mp42' end, case when p_size % 3 = 0 then 'metadata version 2' end,
-  case when p_size % 5 = 0 then 'all tracks enabled' end], lambda x: x is not null)::varchar failed from part""")
+@query("""select p_partkey pos, list_filter([case when p_size % 2 = 0 then 'brand is not mp42' end, case when p_size % 3 = 0 then 'metadata is not of version 2' end,
+  case when p_size % 5 = 0 then 'a track is off' end], lambda x: x is not null)::varchar failed from part""")
 def metadata_check(spark, sf_dir):
     """FLT7, AG15: names of the checks that a description fails."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -469,7 +468,7 @@ def mp4_boxes(spark, sf_dir):
     return out.select("pos", F.col("offset"), "size", "type", "depth")
 
 
-@query("""select p_partkey pos, 355 + p_size + 8 - 19 + 16 + length(m)::bigint size, 1 stems, 0 old_names, 0 alternate_groups
+@query("""select p_partkey pos, 355 + p_size + 8 - 19 + 16 + length(m)::bigint size, 1 metadata_boxes, 0 old_names, 0 alternate_groups
   from part, (select '""" + mp4.metadata_json() + "' m) q")
 def mp4_inject(spark, sf_dir):
     """SNK2, SNK3: metadata put into the movie box in place of old user data."""
@@ -479,7 +478,275 @@ def mp4_inject(spark, sf_dir):
     return c.select(
         "pos",
         F.length("new").cast("bigint").alias("size"),
-        count(b"stem{".hex().upper()).alias("stems"),
+        count(b"stem{".hex().upper()).alias("metadata_boxes"),
         count(b"name\0old".hex().upper()).alias("old_names"),
         count("0007" + "00" * 8).alias("alternate_groups"),
     )
+
+
+# --- real files ----------------------------------------------------------------------------------
+
+
+_SUFFIX = "case s_suppkey % 9 when 0 then 'flac' when 1 then 'WAV' when 2 then 'aiff' when 3 then 'aif' when 4 then 'mp3' when 5 then 'm4a' when 6 then 'alac' when 7 then 'txt' else 'wav.part' end"
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+
+
+def _below(root: str):
+    """A path without the folder it was written to."""
+    return F.regexp_replace("path", F.lit("^" + root.removeprefix("file://").rstrip("/") + "/"), F.lit(""))
+
+
+@query(f"""select concat(s_nationkey::varchar, '/', s_suppkey::varchar, ' - ', s_name, '.', {_SUFFIX}) path, (10 + s_suppkey % 50)::bigint size
+  from supplier where s_suppkey % 9 < 7""")
+def scan_files(spark, sf_dir):
+    """SRC1, FLT1: files written to folders and scanned again; only audio suffixes, in any case, count."""
+    root = scratch.folder(spark, "scan")
+    name = F.expr(f"concat(s_nationkey, '/', s_suppkey, ' - ', s_name, '.', {_SUFFIX})")
+    scratch.write_files(_suppliers(spark, sf_dir).select(name.alias("name"), F.expr("cast(repeat('x', cast(10 + s_suppkey % 50 as int)) as binary)").alias("content")), root)
+    return files.scan(spark, root).select(_below(root).alias("path"), "size")
+
+
+@query("""select s_suppkey id, case s_suppkey % 5 when 3 then 1 else 2 end channels, case when s_suppkey % 5 = 4 then 1 else 2 end sample_width,
+  (8000 + s_suppkey % 3)::int sample_rate, (100 + s_suppkey % 50)::bigint frames from supplier""")
+def wav_headers(spark, sf_dir):
+    """SRC9: headers of WAV files that were written before."""
+    root = scratch.folder(spark, "wav")
+    scratch.write_files(_wavs(_suppliers(spark, sf_dir)), root)
+    return files.wav_info(spark, root).select(_below(root).alias("name"), "*").selectExpr("cast(replace(name, '.wav', '') as bigint) id", "channels", "sample_width", "sample_rate", "frames")
+
+
+def _wavs(suppliers: DataFrame) -> DataFrame:
+    """(name, content): the samples count up from the supplier's key; mono for each fifth, 8 bits for another fifth."""
+    header = lambda n, ch, width, rate: F.concat(
+        F.lit("RIFF".encode().hex()), _le(36 + n, 4), F.lit(b"WAVEfmt ".hex()), _le(F.lit(16), 4), _le(F.lit(1), 2), _le(ch, 2), _le(rate, 4), _le(rate * ch * width, 4), _le(ch * width, 2), _le(width * 8, 2), F.lit(b"data".hex()), _le(n, 4)
+    )
+    k = F.col("s_suppkey")
+    ch = F.when(k % 5 == 3, 1).otherwise(2)
+    width = F.when(k % 5 == 4, 1).otherwise(2)
+    total = (F.lit(100) + k % 50) * ch
+    samples = F.array_join(F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.when(width == 1, _le((k + i) % 100, 1)).otherwise(_le((k + i) * 2 % 1000, 2))), "")
+    return suppliers.select(
+        F.concat(k.cast("string"), F.lit(".wav")).alias("name"),
+        F.unhex(F.concat(header(total * width, ch, width, (F.lit(8000) + k % 3)), samples)).alias("content"),
+    )
+
+
+def _le(n, size: int):
+    """A number's bytes, the least first, as hexadecimal digits."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * b).bitwiseAND(F.lit(255))), 2, "0") for b in range(size)])
+
+
+@query("""with s as (select s_suppkey k, case when s_suppkey % 5 = 3 then 1 else 2 end ch, case when s_suppkey % 5 = 4 then 1 else 2 end width, 100 + s_suppkey % 50 n from supplier),
+  x as (select k, c, t, case when width = 1 then ((k + t * ch + least(c, ch - 1)) % 100 - 128) / 128.0 else ((k + t * ch + least(c, ch - 1)) * 2 % 1000) / 32768.0 end v
+    from (select *, unnest(range(0, n)) t from s) q, (select unnest([0, 1]) c) r)
+  select k id, c::int channel, t // 64 block, count(*) n, round(sum(v), 4) total from x group by k, c, t // 64
+  union all select -1, 0, -1, 0, null""")
+def wav_samples(spark, sf_dir):
+    """SRC8: samples of files of several forms in stereo blocks; a broken file is a row of its own."""
+    root = scratch.folder(spark, "wav")
+    broken = spark.createDataFrame([("-1.wav", b"RIFF no wav")], "name string, content binary")
+    scratch.write_files(_wavs(_suppliers(spark, sf_dir)).unionByName(broken), root)
+    rows = wav.decoded(files.contents(spark, root), 64).withColumn("name", _below(root))
+    return rows.selectExpr("cast(replace(name, '.wav', '') as bigint) id", "channel", "block", "cast(coalesce(array_size(samples), 0) as bigint) n", "round(aggregate(samples, 0D, (a, v) -> a + v), 4) total")
+
+
+_XML = r"""x as (select * from v_collection), kept as (
+  select concat(regexp_replace(replace(replace(dir_value, '/:', '/'), ':', ''), '/+$', ''), '/', file_value) path, nullif(title, '') title, artist, audio_id, flags from x where pos % 10 <> 0)"""
+
+
+@query(f"with {_XML} select path, title, artist, audio_id, flags from kept")
+def xml_collection(spark, sf_dir):
+    """SRC3, FLT2, PRJ3: a collection written as XML and read again; entries without a place do not count."""
+    v = view(spark, sf_dir, "v_collection")
+    place = F.struct(F.col("dir_value").alias("_DIR"), F.when(F.col("pos") % 20 == 0, F.lit(None)).otherwise(F.col("file_value")).alias("_FILE"), F.lit("v").alias("_VOLUME"))
+    rows = v.select(
+        F.col("audio_id").alias("_AUDIO_ID"),
+        F.col("title").alias("_TITLE"),
+        F.col("artist").alias("_ARTIST"),
+        F.when(F.col("pos") % 20 != 10, place).alias("LOCATION"),
+        F.when(F.col("flags").isNotNull(), F.struct(F.col("flags").cast("string").alias("_FLAGS"))).alias("INFO"),
+    )
+    root = scratch.folder(spark, "xml")
+    rows.write.format("xml").option("rowTag", "ENTRY").option("rootTag", "COLLECTION").save(root)
+    return collection.read(spark, root).withColumn("title", text.full(F.col("title")))
+
+
+@query("""select n_nationkey id, case when n_nationkey % 3 = 0 then n_regionkey | 64 else n_regionkey end flags,
+  (select count(*) from nation where n_nationkey % 3 = 0 and (n_regionkey & 64) = 0) changed, 1 missing, 'collection.nml.bak,collection.nml.bak1' backups from nation""")
+def collection_update(spark, sf_dir):
+    """SNK6, SNK8, SNK9, JN6: a collection file marked, backed up twice, written whole and read again.
+
+    The file and its exact update are the driver's work, one entry for each nation.
+    """
+    import os
+    import tempfile
+    from xml.sax.saxutils import quoteattr
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "collection.nml")
+        rows = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
+        entries = "".join(f'<ENTRY AUDIO_ID="{r["n_nationkey"]:04}" TITLE={quoteattr(r["n_name"])}><LOCATION DIR="/:M/:" FILE="{r["n_nationkey"]}.wav"/><INFO FLAGS="{r["n_regionkey"]}"/></ENTRY>' for r in rows)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(f"<NML><COLLECTION>{entries}</COLLECTION></NML>")
+        file = collection.CollectionFile(path)
+        changed, missing = file.mark([f"/M/{r['n_nationkey']}.wav" for r in rows if r["n_nationkey"] % 3 == 0] + ["/M/none.wav"])
+        backups = ",".join(file.backup().name for _ in range(2))
+        file.write()
+        read = [tuple(r) for r in collection.read_ordered(spark, f"file://{path}").selectExpr("cast(audio_id as int) id", "flags").collect()]
+    out = spark.createDataFrame(read, "id int, flags int")
+    return out.select("id", "flags", F.lit(changed).cast("bigint").alias("changed"), F.lit(len(missing)).alias("missing"), F.lit(backups).alias("backups"))
+
+
+@query("""select row_number() over (order by event_id) - 1 line_no, 'T' || user_id::varchar title, '/Outputs/' || event_id::varchar path, '0us' as "offset"
+  from events qualify event_type = 'purchase'""")
+def log_file(spark, sf_dir):
+    """SRC4, SRC5, FLT3: a log written beside a collection, with lines of other kinds, and read again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stored = F.expr("""concat('2024 - Finished stem separation job for track "T', user_id, '" - result: successful: stem file stored to "/Outputs/', event_id, '", with offset 0us, elapsed')""")
+    place = logs.log_path(scratch.folder(spark, "log") + "/collection.nml", "Deck")
+    e.orderBy("event_id").select(F.when(F.col("event_type") == "purchase", stored).otherwise("other").alias("value")).coalesce(1).write.text(place)
+    return logs.entries(logs.lines(spark, place))
+
+
+@query("""select p_partkey id, p_name as name, p_retailprice price, p_size % 2 = 0 even from part""")
+def json_files(spark, sf_dir):
+    """SNK13: rows written as JSON lines and read again."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey id", "p_name name", "p_retailprice price", "p_size % 2 = 0 even")
+    root = scratch.folder(spark, "json")
+    rows.write.json(root)
+    return spark.read.schema(rows.schema).json(root)
+
+
+# --- lookups and shapes --------------------------------------------------------------------------
+
+
+@query(rf"""with {_ENTRIES.strip()}, f as (select path, regexp_extract(path, '([^/]*)$', 1) nm from v_files),
+  b as (select *, regexp_replace(nm, '\.[^.]+$', '') bare0 from f),
+  p as (select *, trim(regexp_replace(bare0, '^\s*\d+\s*-\s*', '')) bare from b),
+  q as (select *, list_filter(list_transform(string_split(bare, ' - '), lambda x: trim(x)), lambda x: x <> '') parts from p)
+  select path, case when key is not null then coalesce(nullif(e.t, ''), bare0) when len(parts) >= 2 then array_to_string(parts[2:], ' - ') when bare <> '' then bare else bare0 end title,
+    case when key is not null then e.a when len(parts) >= 2 then parts[1] end artist, e.i audio_id
+  from q left join found on nfc_normalize(path) = key""")
+def single_tracks(spark, sf_dir):
+    """PRJ6, JN2: named files looked up one by one: the bare stem stands for an empty title, no artist for a missing one."""
+    index = catalog.collection_index(_collection(spark, sf_dir))
+    return catalog.single_tracks(view(spark, sf_dir, "v_files").select("path"), index)
+
+
+_ALIAS = "case when pos % 5 = 0 then replace(path, '/Music/', '/Link/') else path end"
+
+
+@query(f"""with {_SCAN.strip()}, en as (
+  select pos, {_ALIAS} path, path resolved, title, artist, audio_id from (
+    select pos, concat(regexp_replace(replace(replace(dir_value, '/:', '/'), ':', ''), '/+$', ''), '/', file_value) path, title, artist, audio_id from v_collection) c),
+  keyed as (select nfc_normalize(path) key, * from en union select nfc_normalize(resolved), * from en),
+  found as (select key, arg_max({{'t': title, 'a': artist, 'i': audio_id}}, pos) e from keyed group by key),
+  asked as (select pos, case when pos % 7 = 0 then replace(path, '/Music/', '/Other/') else path end path, path resolved, title, artist from scanned)
+  select a.pos, coalesce(nullif(coalesce(x.e, y.e).t, ''), title) title, coalesce(nullif(coalesce(x.e, y.e).a, ''), artist) artist, coalesce(x.e, y.e).i audio_id
+  from asked a left join found x on nfc_normalize(a.path) = x.key left join found y on nfc_normalize(a.resolved) = y.key""")
+def resolved_lookup(spark, sf_dir):
+    """JN1a, JN1b: entries with two keys; a file asks with its resolved path where its own finds nothing."""
+    entries = _collection(spark, sf_dir).withColumn("resolved", F.col("path")).withColumn("path", F.expr(_ALIAS))
+    index = catalog.collection_index(entries.select("pos", "path", "resolved", "title", "artist", "audio_id", "flags"), "resolved")
+    asked = _scanned(spark, sf_dir).withColumn("resolved", F.col("path")).withColumn("path", F.expr("case when pos % 7 = 0 then replace(path, '/Music/', '/Other/') else path end"))
+    return catalog.enrich_resolved(asked, index).select("pos", "title", "artist", "audio_id")
+
+
+@query("""select vec_id, case s when 0 then 'drums' when 1 then 'bass' when 2 then 'other' else 'vocals' end slot, round(sum(x * [0.4, 0.3, 0.2, 0.1][s + 1]), 5) + 0.0 total
+  from v_parts, (select unnest(range(4)) s) q group by vec_id, s""")
+def slot_names(spark, sf_dir):
+    """MD1's stand-in, MD5, PRJ8, JN7, WN5: blocks through a separator in batches of seven, parts named by place."""
+    chunks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+    parts = separate.named(separate.separate(chunks, "linear-stand-in", 70, batch=7))
+    return parts.select("vec_id", "slot", (F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 5) + 0.0).alias("total"))
+
+
+@query("""select vec_id // 8 track, vec_id % 2 channel, (vec_id % 8) // 2 block, s slot, round(sum(x * [0.4, 0.3, 0.2, 0.1][s + 1]), 5) + 0.0 total
+  from v_parts, (select unnest(range(4)) s) q group by 1, 2, 3, 4""")
+def block_overlap_add(spark, sf_dir):
+    """WN1, WN2, MD4, AG9: chunks of blocks, separated and added up again; equal parts of a signal give the signal back."""
+    blocks = _track_blocks(spark, sf_dir)
+    parts = process.reassembled(separate.separate(process.chunked(blocks, 96, 64), "linear-stand-in", 96), 96, 64)
+    return parts.selectExpr("cast(path as bigint) track", "channel", "block", "slot", "round(aggregate(samples, 0D, (a, v) -> a + v), 5) + 0.0 total")
+
+
+def _track_blocks(spark, sf_dir) -> DataFrame:
+    """Eight vectors make a track: four blocks of 64 samples in each of two channels."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return v.selectExpr("cast(vec_id div 8 as string) path", "1000 sample_rate", "cast(vec_id % 2 as int) channel", "cast((vec_id % 8) div 2 as bigint) block", "transform(embedding, v -> cast(v as double)) samples")
+
+
+@query("""with x as (select vec_id // 8 g, case when (vec_id // 8) % 4 = 0 then 0 else x end x, case (vec_id // 8) % 4 when 1 then 0.4 when 2 then 2.0 else 1.0 end f from v_parts),
+  s as (select g, sqrt(avg(x * x)) rms, sqrt(avg(x * f * x * f)) srms from x group by g)
+  select g track, case when rms < 1e-5 then null else round(srms / rms, 5) end ratio, case when rms < 1e-5 then 'silent' when srms / rms < 0.55 or srms / rms > 1.8 then 'failed' else 'passed' end verdict from s""")
+def block_gate(spark, sf_dir):
+    """MD4, AG5 to AG8: the parts' sum against the master, block by block, with silent, weak and loud tracks."""
+    blocks = _track_blocks(spark, sf_dir)
+    turn = "cast(path as bigint) % 4"
+    blocks = blocks.withColumn("samples", F.expr(f"transform(samples, v -> case when {turn} = 0 then 0D else v end)"))
+    parts = blocks.withColumn("samples", F.expr(f"transform(samples, v -> v * case {turn} when 1 then 0.2D when 2 then 1D else 0.5D end)"))
+    both = parts.withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
+    return process.checked(blocks, both, 64, every=1).selectExpr("cast(path as bigint) track", "round(ratio, 5) ratio", "verdict")
+
+
+_SHAPED = """m as (select vec_id, vec_id % 4 k, list_transform(embedding, lambda v: greatest(-0.99, least(0.99, v::double * 9))) e from embeddings),
+ch as (select vec_id, k, e, case k when 0 then e[1:32] when 1 then list_transform(range(32), lambda i: e[2 * i + 1]) when 2 then e else list_transform(range(16), lambda i: e[4 * i + 1]) end l,
+  case k when 0 then e[33:64] when 1 then list_transform(range(32), lambda i: e[2 * i + 2]) when 2 then e else list_transform(range(16), lambda i: e[4 * i + 2]) end r from m)"""
+
+
+def _shaped(spark, sf_dir) -> DataFrame:
+    """The vectors as two channels of 32 frames, 32 frames of two, 64 of one or 16 of four."""
+    e = F.transform("embedding", lambda v: v.cast("double") * 9)
+    cut = lambda n, size: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice(e, i * size + 1, size))
+    k = F.col("vec_id") % 4
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return v.select("vec_id", audio.stereo(F.when(k == 0, cut(2, 32)).when(k == 1, cut(32, 2)).when(k == 2, cut(64, 1)).otherwise(cut(16, 4))).alias("x"))
+
+
+def _sum(frames, channel: int):
+    return F.round(F.aggregate(frames, F.lit(0.0), lambda a, f: a + f[channel]), 5) + 0.0
+
+
+@query(f"with {_SHAPED} select vec_id, len(l) frames, round(list_sum(l), 5) + 0.0 left_sum, round(list_sum(r), 5) + 0.0 right_sum from ch")
+def stereo_shapes(spark, sf_dir):
+    """SC12: signals of several shapes as clipped stereo frames."""
+    return _shaped(spark, sf_dir).select("vec_id", F.size("x").cast("bigint").alias("frames"), _sum(F.col("x"), 0).alias("left_sum"), _sum(F.col("x"), 1).alias("right_sum"))
+
+
+@query(f"""with {_SHAPED} select vec_id // 4 g, max(len(l)) over (partition by vec_id // 4) frames, k slot, round(list_sum(l), 5) + 0.0 left_sum, round(list_sum(r), 5) + 0.0 right_sum
+  from ch qualify count(*) over (partition by vec_id // 4) = 4""")
+def stacked_slots(spark, sf_dir):
+    """SC13, AG4: the signals of a group stacked, the shorter ones filled up with silence."""
+    group = _shaped(spark, sf_dir).groupBy((F.floor(F.col("vec_id") / 4)).alias("g")).agg(*[F.max(F.when(F.col("vec_id") % 4 == k, F.col("x"))).alias(f"s{k}") for k in range(4)])
+    whole = group.select("g", audio.stacked([F.col(f"s{k}") for k in range(4)]).alias("x")).where("x is not null")
+    each = whole.select("g", F.posexplode("x").alias("slot", "y"))
+    return each.select("g", F.size("y").cast("bigint").alias("frames"), F.col("slot").cast("bigint").alias("slot"), _sum(F.col("y"), 0).alias("left_sum"), _sum(F.col("y"), 1).alias("right_sum"))
+
+
+@query("""select vec_id, 64 - vec_id % 7 length, round(list_sum(list_transform(embedding, lambda v: v::double)[1 + (vec_id % 7) // 2 : 64 - (vec_id % 7 - (vec_id % 7) // 2)]), 5) + 0.0 total from embeddings""")
+def centre_trim(spark, sf_dir):
+    """SC19: the middle of a signal."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("length", 64 - F.col("vec_id") % 7)
+    x = audio.centred(F.transform("embedding", lambda e: e.cast("double")), F.col("length").cast("int"))
+    return v.select("vec_id", "length", (F.round(F.aggregate(x, F.lit(0.0), lambda a, e: a + e), 5) + 0.0).alias("total"))
+
+
+@query(f"with {_PADDED.strip()} select vec_id, f - 2 frame, round(sum(sqrt(re * re + im * im)), 4) total, true same from z group by vec_id, f")
+def stft_channels(spark, sf_dir):
+    """SC18: magnitudes, and complex bins as real channels and back."""
+    z = _blocks(spark, sf_dir).select("vec_id", F.posexplode(stft.stft(F.col("x"), 16, 4)).alias("frame", "z"))
+    back = stft.from_channels(stft.as_channels(F.array("z", "z")))
+    same = (back[0]["re"] == F.col("z.re")) & (back[1]["im"] == F.col("z.im")) & (F.size(back) == 2)
+    total = F.aggregate(stft.magnitude(F.col("z")), F.lit(0.0), lambda a, m: a + m)
+    return z.select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.round(total, 4).alias("total"), same.alias("same"))
+
+
+@query("""with s as (select ch, sum(x) x, t from v_signal group by ch, t), m as (select ch, avg(x) mean, stddev_pop(x) std from s group by ch)
+  select s.ch, t, round((x - mean) / (1e-5 + std), 5) + 0.0 y from s join m on s.ch = m.ch""")
+def normalised(spark, sf_dir):
+    """AG10: each sample less its channel's mean, over its deviation."""
+    out = signal.normalise(_signal(spark, sf_dir).withColumn("x", F.col("x").cast("double")), ["ch"])
+    return out.select("ch", "t", (F.round("y", 5) + 0.0).alias("y"))

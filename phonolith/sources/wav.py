@@ -1,6 +1,7 @@
 """PCM WAV: header and samples of files, a writer, and a sine (SRC8 to SRC10, SNK1's stand-in).
 
-Other encodings need an external decoder, which this package does not have.
+Other encodings need an external decoder, which this package does not have; a
+file in one of them is an error of its own, not of the run.
 """
 
 from __future__ import annotations
@@ -52,20 +53,86 @@ def info(content: Column) -> Column:
     return run(content)
 
 
-def blocks(files: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Samples of 16-bit WAV files (path, content) in stereo blocks of ``size``, between -1 and 1; mono counts twice."""
+def _floats(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """(frames, channels) between -1 and 1 of PCM of 8, 16, 24 or 32 bits."""
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 2:
+        x = np.frombuffer(raw, "<i2").astype(np.float32) / 2**15
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) / 2**31).astype(np.float32)
+    else:
+        x = (np.frombuffer(raw, "<i4") / 2**31).astype(np.float32)
+    return x.reshape(-1, channels)
+
+
+def _stereo(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Mono counts twice; of more than two channels the first two stay."""
+    for x in parts:
+        yield np.repeat(x, 2, 1) if x.shape[1] == 1 else x[:, :2]
+
+
+def _resampled(parts: Iterator[np.ndarray], rate: int, target: int) -> Iterator[np.ndarray]:
+    """Linear interpolation at the new rate, with the last frame of a part kept for the next one."""
+    done, before, held = 0, 0, np.zeros((0, 2), np.float32)
+    for x in parts:
+        held = np.concatenate([held, x])
+        last = before + len(held) - 1  # the last frame known
+        count = max(0, last * target // rate + 1 - done)
+        at = (done + np.arange(count)) * rate / target - before
+        low = np.minimum(at.astype(np.int64), len(held) - 1)
+        high = np.minimum(low + 1, len(held) - 1)
+        share = (at - low)[:, None].astype(np.float32)
+        yield held[low] * (1 - share) + held[high] * share
+        done += count
+        drop = max(0, min(len(held) - 1, done * rate // target - before))
+        held, before = held[drop:], before + drop
+
+
+def _blocked(parts: Iterator[np.ndarray], size: int, lead: int) -> Iterator[np.ndarray]:
+    """Parts of ``size`` frames, the last one shorter, after ``lead`` frames of silence."""
+    held = np.zeros((lead, 2), np.float32)
+    for x in parts:
+        held = np.concatenate([held, x])
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if len(held):
+        yield held
+
+
+def decoded(files: DataFrame, size: int = 1 << 16, rate: int | None = None, lead: int = 0) -> DataFrame:
+    """Samples of PCM WAV files (path, content) in stereo blocks of ``size``, between -1 and 1, at ``rate`` if given.
+
+    A file that cannot be read, or has no frames, gives one row with ``error``
+    and no samples; the others are not touched by it.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "sample_rate", "channel", "block", "samples", "error"]
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
-                with wave.open(io.BytesIO(bytes(data)), "rb") as w:
-                    if w.getsampwidth() != 2:
-                        raise ValueError(f"{path}: only 16-bit PCM is read here")
-                    rate, channels, number = w.getframerate(), w.getnchannels(), 0
-                    while len(raw := w.readframes(size)):
-                        x = np.frombuffer(raw, "<i2").reshape(-1, channels).astype(np.float32) / 32768
-                        rows = [(path, rate, c, number, x[:, min(c, channels - 1)]) for c in range(2)]
-                        yield pd.DataFrame(rows, columns=["path", "sample_rate", "channel", "block", "samples"])
-                        number += 1
-
-    return files.select("path", "content").mapInPandas(read, _BLOCK)
+                number = 0
+                try:
+                    with wave.open(io.BytesIO(bytes(data)), "rb") as w:
+                        own, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
+                        raw = iter(lambda: w.readframes(size), b"")
+                        parts = _stereo(_floats(r, width, channels) for r in raw)
+                        if rate is not None and rate != own:
+                            parts = _resampled(parts, own, rate)
+                        for x in _blocked(parts, size, lead):
+                            yield pd.DataFrame([(path, rate or own, c, number, np.ascontiguousarray(x[:, c]), None) for c in range(2)], columns=names)
+                            number += 1
+                        error = None if w.getnframes() else "no frames"
+                except (wave.Error, EOFError, ValueError, TypeError) as e:
+                    error = f"cannot decode: {e or 'the file ends early'}"
+                if error:
+                    yield pd.DataFrame([(path, rate or 0, 0, -1, None, error)], columns=names)
+
+    return files.select("path", "content").mapInPandas(read, f"{_BLOCK}, error string")
+
+
+def blocks(files: DataFrame, size: int = 1 << 16, rate: int | None = None) -> DataFrame:
+    """The samples of ``decoded`` alone."""
+    return decoded(files, size, rate).where("error is null").drop("error")

@@ -20,19 +20,19 @@ _ID = {
 
 
 def _collection(engine: str) -> str:
-    one = f"""select p_partkey pos, concat('/:Music/:DJ/:', replace(p_brand,'#',' '), '/:') dir_value, {_NAME} file_value,
+    one = f"""select 4 * p_partkey + p_partkey % 2 pos, concat('/:Music/:DJ/:', replace(p_brand,'#',' '), '/:') dir_value, {_NAME} file_value,
       case when p_partkey % 4 = 0 then '' when p_partkey % 4 = 1 then null else upper(p_name) end title,
       case when p_partkey % 7 = 0 then null else p_type end artist, {_ID[engine]} audio_id,
       case when p_partkey % 6 = 0 then null else p_size end flags
       from part where p_partkey % 3 <> 2"""
-    # Every eleventh entry stands twice; the later one counts.
-    return f"""{one} union all select pos + 1000000, dir_value, file_value, concat('Again ', coalesce(title, '')), artist, audio_id, flags
-      from ({one}) twice where pos % 11 = 0"""
+    # Every eleventh entry stands twice; the later one counts. Positions keep the key's parity and never meet.
+    return f"""{one} union all select pos + 2, dir_value, file_value, concat('Again ', coalesce(title, '')), artist, audio_id, flags
+      from ({one}) twice where floor(pos / 4) % 11 = 0"""
 
 
 def views(engine: str) -> dict[str, tuple[str, str]]:
     """{view: (table it reads, SQL)} for ``spark`` or ``duckdb``."""
-    stems = {
+    parts = {
         "spark": "select vec_id, p t, cast(e as double) x from embeddings lateral view posexplode(embedding) q as p,e",
         "duckdb": "select vec_id, i-1 t, cast(embedding[i] as double) x from (select vec_id, embedding, unnest(range(1,65)) i from embeddings) q",
     }
@@ -43,7 +43,7 @@ def views(engine: str) -> dict[str, tuple[str, str]]:
             "events",
             """select event_id line_no, case when event_type in ('purchase','signup') then
             concat('2024-01-01 - Finished stem separation job for track "T', cast(user_id as varchar(20)),
-            '" - result: successful: stem file stored to "', case when event_type='purchase' then '/Stems/' else '/Other/' end,
+            '" - result: successful: stem file stored to "', case when event_type='purchase' then '/Outputs/' else '/Other/' end,
             lpad(cast(event_id % 128 as varchar(20)),3,'0'), '/', cast(event_id as varchar(20)),
             '.stem.mp4", with offset 0us, elapsed time: 0m 1s')
             else concat('noise ', event_type) end line from events""",
@@ -55,7 +55,7 @@ def views(engine: str) -> dict[str, tuple[str, str]]:
             case when event_type='error' then concat('e', cast(event_id as varchar(20))) end error, event_id % 3 size from events""",
         ),
         "v_signal": ("events", "select event_id % 2 ch, cast(floor(event_id/2) as bigint) t, cast(round(value*100) as bigint) x from events"),
-        "v_stems": ("embeddings", stems[engine]),
+        "v_parts": ("embeddings", parts[engine]),
     }
 
 

@@ -25,8 +25,8 @@ def one(spark, column, **values):
 
 def test_known_name_bucket_and_path(spark):
     words = naming.hash_words(F.lit(AUDIO_ID))
-    row = spark.range(1).select(naming.bucket(words), naming.file_name(words), naming.native_path("/Stems", words)).first()
-    assert tuple(row) == ("056", NAME, f"/Stems/056/{NAME}")
+    row = spark.range(1).select(naming.bucket(words), naming.file_name(words), naming.native_path("/Outputs", words)).first()
+    assert tuple(row) == ("056", NAME, f"/Outputs/056/{NAME}")
 
 
 def test_compression_is_md5s():
@@ -150,4 +150,4 @@ def test_metadata_and_checks(spark):
     df = spark.createDataFrame([(info, '{"streams":[' + ",".join(['{"codec_type":"audio"}'] * 5) + "]}"), ("Alternate Group ID", "{}")], "i string, p string")
     got = df.select(mp4.checks(F.col("i")), mp4.five_audio_streams(F.col("p"))["ok"]).collect()
     assert tuple(got[0]) == ([], True)
-    assert got[1][0] == ["major brand mp42", "stem metadata", "metadata version 2", "vocals slot", "no alternate track group"] and not got[1][1]
+    assert got[1][0] == ["brand is not mp42", "no slot metadata box", "metadata is not of version 2", "last slot has no name", "tracks are alternates"] and not got[1][1]

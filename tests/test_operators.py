@@ -29,7 +29,7 @@ def test_flags(spark):
 
 
 def test_logged_path_root_before_last(spark):
-    log = spark.createDataFrame([(1, "T", "/S/1"), (2, "T", "/S/2"), (3, "T", "/Other/3"), (4, "T", "/Stems/4")], "line_no long, title string, path string")
+    log = spark.createDataFrame([(1, "T", "/S/1"), (2, "T", "/S/2"), (3, "T", "/Other/3"), (4, "T", "/Outputs/4")], "line_no long, title string, path string")
     assert catalog.latest_logged(log, "/S/").first()[1] == "/S/2"
 
 
@@ -75,8 +75,8 @@ def test_gate_verdicts(spark):
     rows = [(k, t, math.sin(t) if k != "silent" else 0.0) for k in ("good", "half", "loud", "silent") for t in range(400)]
     master = spark.createDataFrame(rows, "k string, t long, x double")
     scale = {"good": 1.0, "half": 0.5, "loud": -1.0, "silent": 1.0}
-    stems = spark.createDataFrame([(k, t, x * scale[k] / 2) for k, t, x in rows for _ in (0, 1)], "k string, t long, x double")
-    got = {r["k"]: r["verdict"] for r in signal.gate(master, stems, ["k"], F.col("t")).collect()}
+    parts = spark.createDataFrame([(k, t, x * scale[k] / 2) for k, t, x in rows for _ in (0, 1)], "k string, t long, x double")
+    got = {r["k"]: r["verdict"] for r in signal.gate(master, parts, ["k"], F.col("t")).collect()}
     assert got == {"good": "passed", "half": "failed", "loud": "failed", "silent": "silent"}
 
 

@@ -37,13 +37,13 @@ def library(tmp_path, spark):
 
 def settings(library, **more):
     root, music, path = library
-    return plans.Settings(str(music), str(root / "Stems"), collection=str(path), state_dir=str(root / "jobs"), segment=0.9, overlap=0.3, sample_rate=1000, continue_on_error=True, **more)
+    return plans.Settings(str(music), str(root / "Outputs"), collection=str(path), state_dir=str(root / "jobs"), segment=0.9, overlap=0.3, sample_rate=1000, continue_on_error=True, **more)
 
 
 def test_process_end_to_end(spark, library):
     root, music, path = library
     dry = {r["path"]: r["status"] for r in plans.process(spark, settings(library, dry_run=True)).collect()}
-    assert sorted(dry.values()) == ["error", "planned", "planned", "planned"] and not (root / "Stems").exists()
+    assert sorted(dry.values()) == ["error", "planned", "planned", "planned"] and not (root / "Outputs").exists()
     got = {r["path"].rsplit("/", 1)[1]: r for r in plans.process(spark, settings(library)).collect()}
     assert {k: r["status"] for k, r in got.items()} == {"01 - Some One - Tune.wav": "done", "Other.wav": "done", "silent.wav": "done", "unknown.wav": "error"}
     assert got["silent.wav"]["message"] == "silent master" and got["Other.wav"]["message"] == "corr=1.000, rms_ratio=1.000"
@@ -61,6 +61,52 @@ def test_process_end_to_end(spark, library):
     assert not (root / "collection.nml.bak1").exists()  # nothing changed
 
 
+def test_a_broken_file_fails_alone_and_unready_outputs_are_made_again(spark, library):
+    root, music, path = library
+    whole = (music / "Other.wav").read_bytes()
+    (music / "Other.wav").write_bytes(whole[:20])
+    got = {r["path"].rsplit("/", 1)[1]: r for r in plans.process(spark, settings(library)).collect()}
+    assert got["Other.wav"]["status"] == "error" and "cannot decode" in got["Other.wav"]["message"]
+    assert got["silent.wav"]["status"] == "done" and got["01 - Some One - Tune.wav"]["status"] == "done"
+    (music / "Other.wav").write_bytes(whole)
+    out = plans.pcm_path(got["silent.wav"]["output"])
+    with open(out, "r+b") as f:  # without its metadata a file is not ready
+        f.seek(-10, 2)
+        f.truncate()
+    again = {r["path"].rsplit("/", 1)[1]: r["status"] for r in plans.process(spark, settings(library)).collect()}
+    assert again == {"01 - Some One - Tune.wav": "skipped", "Other.wav": "done", "silent.wav": "done", "unknown.wav": "error"}
+
+
+def test_shifts_and_discovery(spark, library):
+    """The stand-in gives the same at every place of the grid; the collection and its log are found where none is named."""
+    root, music, path = library
+    folder = root / "Deck 3.10"
+    (folder / "Logs").mkdir(parents=True)
+    (folder / "collection.nml").write_bytes(path.read_bytes())
+    (folder / "Logs" / "Deck.log").write_text(f'Finished stem separation job for track "Other" - result: successful: stem file stored to "{root}/Outputs/logged.stem.mp4", with offset 0us\n')
+    s = plans.Settings(str(music), str(root / "Outputs"), library_root=str(root), library_app="Deck", segment=0.9, overlap=0.3, sample_rate=1000, shifts=3, update_collection=False)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in plans.process(spark, s).collect()}
+    assert got["Other.wav"]["output"].endswith("/Outputs/logged.stem.mp4") and got["Other.wav"]["status"] == "done"
+    with wave.open(plans.pcm_path(got["Other.wav"]["output"]), "rb") as w:
+        x = np.frombuffer(w.readframes(10**6), "<i2").reshape(-1, 10) / 32767
+    assert len(x) == 5000 and np.abs(x[:, 2] - 0.4 * x[:, 0]).max() < 1e-3
+    with pytest.raises(CollectionError):
+        plans.Settings("a", "b", library_root=str(root), library_app="None").located(spark)
+
+
+@pytest.mark.parametrize("rate", [500, 1000, 1500, 44100])
+def test_resampling(spark, library, rate):
+    """Every block size gives what interpolating the whole signal gives."""
+    root, music, path = library
+    files_ = files.contents(spark, str(music), "Other.wav")
+    x = np.frombuffer((music / "Other.wav").read_bytes()[44:], "<i2").reshape(-1, 2)[:, 0] / 2**15
+    want = np.interp(np.arange((len(x) - 1) * rate // 1000 + 1) * 1000 / rate, np.arange(len(x)), x)
+    for size in (700, 1 << 16):
+        got = wav.blocks(files_, size, rate).where("channel = 0").orderBy("block").collect()
+        y = np.concatenate([r["samples"] for r in got])
+        assert len(y) == len(want) and np.abs(y - want).max() < 1e-4
+
+
 def test_sources(spark, library):
     root, music, path = library
     assert sorted(r["path"].rsplit("/", 1)[1] for r in files.scan(spark, str(music)).collect()) == ["01 - Some One - Tune.wav", "Other.wav", "silent.wav", "unknown.wav"]
@@ -75,12 +121,12 @@ def test_sources(spark, library):
     assert logs.log_path("/a/b/c.nml", "App") == "/a/b/Logs/App.log"
 
 
-def test_discover_and_broken_collection(tmp_path):
+def test_discover_and_broken_collection(spark, tmp_path):
     for v in ("3.9", "3.10", "x"):
         (tmp_path / f"Deck {v}").mkdir()
         (tmp_path / f"Deck {v}" / "collection.nml").write_text("<a/>")
-    assert collection.discover(str(tmp_path), "Deck").endswith("Deck 3.10/collection.nml")
-    assert collection.discover(str(tmp_path), "None") is None
+    assert collection.discover(spark, str(tmp_path), "Deck").endswith("Deck 3.10/collection.nml")
+    assert collection.discover(spark, str(tmp_path), "None") is None
     (tmp_path / "bad.nml").write_text("<a>")
     with pytest.raises(CollectionError):
         collection.CollectionFile(str(tmp_path / "bad.nml"))
@@ -98,12 +144,12 @@ def test_command_line(spark, library, capsys):
     assert cli.main(["scan", "--music-dir", str(music), "--collection", str(path), "--limit", "2"]) == 0
     out = capsys.readouterr().out.splitlines()
     assert out[-1] == "total: 4" and out[-3].startswith("matched\tSome One - Tune 2\t")
-    stems = ["--stems-dir", str(root / "Stems"), "--collection", str(path)]
-    assert cli.main(["calibrate", "--audio", str(music / "Other.wav"), "--stem-file", "/x/y.stem.mp4", *stems]) == 0
+    where = ["--output-dir", str(root / "Outputs"), "--collection", str(path)]
+    assert cli.main(["calibrate", "--audio", str(music / "Other.wav"), "--stem-file", "/x/y.stem.mp4", *where]) == 0
     assert capsys.readouterr().out.splitlines()[-1].endswith("\tno")
-    assert cli.main(["calibrate", "--audio", "/none.wav", *stems]) == 1
-    assert cli.main(["process", "--music-dir", str(music), "--dry-run", "--continue-on-error", *stems]) == 0
-    assert cli.main(["process", "--music-dir", str(music), "--overlap", "2", *stems]) == 1
+    assert cli.main(["calibrate", "--audio", "/none.wav", *where]) == 1
+    assert cli.main(["process", "--music-dir", str(music), "--dry-run", "--continue-on-error", *where]) == 0
+    assert cli.main(["process", "--music-dir", str(music), "--overlap", "2", *where]) == 1
     (root / "x.mp4").write_bytes(b"")
     assert cli.main(["verify", str(root / "x.mp4")]) == 2
 
