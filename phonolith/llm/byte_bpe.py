@@ -2,9 +2,9 @@
 
 The library's pre-tokenizer starts a new piece at every space that a character
 other than white space follows, so a text may be cut there and each stretch
-encoded alone. Stretches and their pieces repeat, so their ids are kept, up to a bound
-(two generations of a memo); the library's model encodes each new piece. The ids
-equal those of the whole text.
+encoded alone. Stretches and their pieces repeat, so their ids are kept in a
+memo bounded in bytes; the library's model encodes each new piece. The ids equal
+those of the whole text.
 """
 
 from __future__ import annotations
@@ -12,71 +12,102 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 import regex
 
 from .token_counts import byte_units
 
-#: Marks that end a word as one piece; the apostrophe is not among them, as it may start one.
-_MARKS = ".,;:!?*#$%&|()-"
-#: Entries of a generation of a memo, and the longest stretch that is kept.
-MEMO, LONGEST = 350_000, 48
+#: Bytes of both generations of the memo, what an entry takes besides its own bytes, and the longest stretch kept.
+MEMO_BYTES, ENTRY, LONGEST = 112 << 20, 150, 48
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r" (?=\S)")
+_ODD_SPACE = re.compile(r" \s")
 
 
 class Memo:
-    """At most 2 * MEMO entries; those not asked for during a generation go."""
+    """Ids by key in at most ``most`` bytes; entries not asked for during a generation go."""
 
-    def __init__(self):
+    def __init__(self, most: int = MEMO_BYTES):
+        self.most = most // 2
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def add(self, key: str, ids: bytes) -> None:
-        if len(self.new) >= MEMO:
-            self.old, self.new = self.new, {}
+        if self.held >= self.most:
+            self.old, self.new, self.held = self.new, {}, 0
         self.new[key] = ids
+        self.held += ENTRY + len(key) + len(ids)
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.stretches, self.pieces = Memo(), Memo()
+        # The key of a stretch leaves out the space before it; keys of other pieces start with a space.
+        self.memo = Memo(memo_bytes)
         self.units = dict(enumerate(byte_units()))
         self.space = self.units[32]
         # Where nothing but the byte-level split happens before the model, pieces can be encoded one by one.
         self.plain = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
 
-    def _piece(self, text: str) -> bytes:
-        """The ids of one piece."""
-        memo = self.pieces
-        ids = memo.new.get(text)
+    def _new(self, piece: str, key: str) -> bytes:
+        """The model's ids of one piece."""
+        if piece.isascii() and piece.isprintable():
+            units = piece.replace(" ", self.space)
+        else:
+            units = piece.encode().decode("latin-1").translate(self.units)
+        ids = _bytes([t.id for t in self.model.tokenize(units)])
+        if len(key) <= LONGEST:
+            self.memo.add(key, ids)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        key = piece[1:] if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() else " " + piece
+        memo = self.memo
+        ids = memo.new.get(key)
         if ids is None:
-            ids = memo.old.get(text)
+            ids = memo.old.get(key)
             if ids is None:
-                if text.isascii() and text.isprintable():
-                    units = text.replace(" ", self.space)
-                else:
-                    units = text.encode().decode("latin-1").translate(self.units)
-                ids = _bytes([t.id for t in self.model.tokenize(units)])
-            if len(text) <= LONGEST:
-                memo.add(text, ids)
+                return self._new(piece, key)
+            memo.add(key, ids)
         return ids
 
-    def _after_space(self, text: str) -> bytes:
-        """The ids of a space and ``text``, which has no space."""
-        body = text.rstrip(_MARKS)
-        if not body.isalpha():
-            return b"".join(map(self._piece, PIECES.findall(" " + text)))
-        ids = self._piece(" " + body)  # letters, then marks: two pieces
-        return ids if len(body) == len(text) else ids + self._piece(text[len(body) :])
+    def _stretches(self, stretches: list[str], odd: bool) -> list[bytes]:
+        """The ids of stretches that the memo's new generation lacks, each with the space before it. Odd: spaces may be inside."""
+        memo = self.memo
+        out = list(map(memo.old.get, stretches))
+        left = [i for i, ids in enumerate(out) if ids is None]
+        if len(left) < len(out):
+            for s, ids in zip(stretches, out):
+                if ids is not None:
+                    memo.add(s, ids)
+        if not left:
+            return out
+        if odd:
+            for i in left:
+                out[i] = b"".join(map(self._piece, PIECES.findall(" " + stretches[i])))
+            return out
+        # One pass over all of them; a piece that starts with a space starts a stretch.
+        pieces = PIECES.findall(" " + " ".join([stretches[i] for i in left]))
+        starts = [k for k, p in enumerate(pieces) if p[0] == " "]
+        starts.append(len(pieces))
+        for i, a, b in zip(left, starts, starts[1:]):
+            if b - a == 1:
+                out[i] = self._piece(pieces[a])
+            else:
+                ids = out[i] = b"".join(map(self._piece, pieces[a:b]))
+                s = stretches[i]
+                if len(s) <= LONGEST:
+                    memo.add(s, ids)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -84,20 +115,25 @@ class ByteBpe:
             return b""
         if not self.plain or any(s in text for s in self.specials):
             return _bytes(self.library.encode(text, add_special_tokens=False).ids)
-        parts = _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        out = [b"".join(map(self._piece, PIECES.findall(parts[0])))]
+        parts = text.split(" ")
+        odd = "" in parts or _spaces_meet(text)
+        if odd:
+            parts = _CUT.split(text)
+        head = b"".join(map(self._piece, PIECES.findall(parts[0])))
         del parts[0]
-        memo = self.stretches
-        out += map(memo.new.get, parts)
+        out = list(map(self.memo.new.get, parts))
         if None in out:
-            for i, p in [(i, parts[i - 1]) for i, ids in enumerate(out) if ids is None]:
-                ids = memo.old.get(p)
-                if ids is None:
-                    ids = self._after_space(p)
+            at = [i for i, ids in enumerate(out) if ids is None]
+            for i, ids in zip(at, self._stretches([parts[i] for i in at], odd)):
                 out[i] = ids
-                if len(p) <= LONGEST:
-                    memo.add(p, ids)
-        return b"".join(out)
+        return head + b"".join(out)
+
+
+def _spaces_meet(text: str) -> bool:
+    """Whether some space is followed by other white space."""
+    if text.isascii() and not any(c in text for c in "\t\v\f\r\x1c\x1d\x1e\x1f"):
+        return " \n" in text
+    return _ODD_SPACE.search(text) is not None
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -107,6 +143,13 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
+
+
+def pieces_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -14,6 +14,7 @@ the index of one file, which is closed at ``FILE_IDS`` ids.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -26,23 +27,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_bpe
-from .shared import new_folder, written
+from .byte_bpe import byte_bpe, pieces_of
+from .ranges import Ranges
+from .shared import new_folder, small_batches, written
 
 BLOCK, PERCENTILE, FILE_IDS = 8192, 98.0, 1 << 25
-_MAGIC = b"PFORIDS1"
+#: Blocks that are gathered before they are packed.
+GATHER = 16
+_MAGIC = b"PFORIDS2"
+#: Stands for a null id in the files.
+_NO_ID = -(2**63)
 _HEAD = struct.Struct("<IIBI")  # ids, least id, width, exceptions
 _FOOT = struct.Struct("<QQQ8s")  # documents, blocks, where the index starts
 
 
+def _to_words(rest: np.ndarray, width: int) -> np.ndarray:
+    """The values' low ``width`` bits, one after another in little-endian 64-bit words; 64 values fill ``width`` words."""
+    rows = -(-len(rest) // 64)
+    low = np.zeros((rows, 64), np.uint64)
+    low.reshape(-1)[: len(rest)] = rest & np.uint32((1 << width) - 1)
+    low = np.ascontiguousarray(low.T)
+    words = np.zeros((width, rows), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        words[word] |= low[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= low[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T)
+
+
+def _from_words(words: np.ndarray, n: int, width: int) -> np.ndarray:
+    words = np.ascontiguousarray(words.reshape(-1, width).T)
+    low = np.empty((64, words.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        low[i] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            low[i] |= words[word + 1] << np.uint64(64 - shift)
+    return (np.ascontiguousarray(low.T).reshape(-1)[:n] & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """A block of unsigned 32-bit ids."""
     least = int(ids.min()) if len(ids) else 0
     rest = ids.astype(np.uint32) - np.uint32(least)
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length() if len(ids) else 0
+    place = math.ceil(percentile / 100 * (len(ids) - 1)) if len(ids) else 0
+    width = int(np.partition(rest, place)[place]).bit_length() if len(ids) else 0
     wide = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
-    packed = np.packbits(bits, bitorder="little").tobytes()
+    packed = _to_words(rest, width).astype("<u8").tobytes()[: (len(ids) * width + 7) // 8] if width else b""
     return _HEAD.pack(len(ids), least, width, len(wide)) + packed + wide.astype("<u4").tobytes() + rest[wide].astype("<u4").tobytes()
 
 
@@ -50,10 +82,12 @@ def unpack_block(data: bytes) -> np.ndarray:
     n, least, width, wide = _HEAD.unpack_from(data)
     at = _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    whole = np.zeros((n, 32), np.uint8)
-    whole[:, :width] = bits
-    rest = np.packbits(whole, axis=1, bitorder="little").view("<u4").reshape(n).copy()
+    if width:
+        words = np.zeros(-(-n // 64) * width, "<u8")
+        words.view(np.uint8)[:size] = np.frombuffer(data, np.uint8, size, at)
+        rest = _from_words(words.astype(np.uint64), n, width)
+    else:
+        rest = np.zeros(n, np.uint32)
     at += size
     rest[np.frombuffer(data, "<u4", wide, at)] = np.frombuffer(data, "<u4", wide, at + 4 * wide)
     return rest + np.uint32(least)
@@ -73,26 +107,26 @@ class FileWriter:
         self.out.write(data)
         self.size += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.docs.append(_NO_ID if doc_id is None else doc_id)
         self.lengths.append(len(ids) // 4)
         self.waiting.append(ids)
         self.held += len(ids) // 4
         self.ids += len(ids) // 4
-        if self.held >= BLOCK:
+        if self.held >= GATHER * BLOCK:
             ids = np.frombuffer(b"".join(self.waiting), "<u4")
             whole = len(ids) // BLOCK * BLOCK
-            for at in range(0, whole, BLOCK):
-                self._block(ids[at : at + BLOCK])
+            self._blocks(ids[:whole])
             self.waiting, self.held = [ids[whole:].tobytes()], len(ids) - whole
 
-    def _block(self, ids: np.ndarray) -> None:
-        self.blocks.append(self.size)
-        self._write(pack_block(ids))
+    def _blocks(self, ids: np.ndarray) -> None:
+        for at in range(0, len(ids), BLOCK):
+            self.blocks.append(self.size)
+            self._write(pack_block(ids[at : at + BLOCK]))
 
     def close(self) -> None:
         if self.held:
-            self._block(np.frombuffer(b"".join(self.waiting), "<u4"))
+            self._blocks(np.frombuffer(b"".join(self.waiting), "<u4"))
         start = self.size
         self.blocks.append(start)
         for column in (self.docs, self.lengths, self.blocks):
@@ -101,7 +135,7 @@ class FileWriter:
         self.out.close()
 
 
-def read_documents(file, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def read_documents(file, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids before it in the file, ids), one block in memory besides the document."""
 
     def part(at: int, n: int) -> bytes:
@@ -122,20 +156,26 @@ def read_documents(file, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
             have += len(parts[-1])
             block += 1
         held = np.concatenate(parts) if len(parts) > 1 else held
-        yield doc_id, before, held[:n]
+        yield None if doc_id == _NO_ID else doc_id, before, held[:n]
         held, before = held[n:], before + n
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
 ) -> DataFrame:
     """Writes the files; returns the table of files in order: path, part, number, n_docs, n_ids, start.
 
-    Null text counts as empty; repeated rows are written each; rows with a null
-    id go; an empty table gives no files.
+    Null text counts as empty; a very long text is held whole, one at a time.
+    Repeated rows are written each, in an order of their own; rows with a null
+    id come last. Other columns are ignored. An empty table gives no files.
+    ``parts``: ranges of ids, as many as shuffle partitions unless given.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = Ranges.of(rows, parts)
+    dealt = ranges.dealt(rows).repartitionById(ranges.count, "part")
+    ordered = dealt.sortWithinPartitions(F.asc_nulls_last("doc_id"), "text").select("doc_id", "text")
+    small_batches(docs.sparkSession)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +184,7 @@ def write_token_files(
         store.create_dir(base, recursive=True)
         part, files = TaskContext.get().partitionId(), []
         writer = None
-        for batch in batches:
+        for batch in pieces_of(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if writer is None:
                     name = f"ids-{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.pfor"
@@ -174,7 +214,7 @@ def write_token_files(
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files; no files give no rows."""
     # A file is one row and much work: as many partitions as files.
     n = max(1, files.count())
 

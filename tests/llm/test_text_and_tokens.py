@@ -44,12 +44,11 @@ def test_ids_equal_library(text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
-def test_memo_generations(monkeypatch, library, docs):
-    monkeypatch.setattr(byte_bpe, "MEMO", 20)
-    own = byte_bpe.ByteBpe(BYTES)
+def test_memo_generations(library, docs):
+    own = byte_bpe.ByteBpe(BYTES, 8000)
     for r in docs.limit(40).collect():
         assert np.frombuffer(own.encode(r["text"]), "<u4").tolist() == library.encode(r["text"], add_special_tokens=False).ids
-    assert len(own.stretches.new) <= 20
+    assert 0 < len(own.memo.new) <= 4000 / byte_bpe.ENTRY + 1 and own.memo.old
 
 
 # --- packing ---
@@ -172,7 +171,33 @@ def test_token_files_odd(odd, nothing, null_id, library, tmp_path):
     assert token_files.read_token_files(again).count() == len(ODD)
     none = token_files.write_token_files(nothing, BYTES, f"file://{tmp_path}/c", end_id=2)
     assert token_files.read_token_files(none).count() == 0
-    assert [r["doc_id"] for r in rows(token_files.read_token_files(token_files.write_token_files(null_id, BYTES, f"file://{tmp_path}/d")))] == [1]
+    got = rows(token_files.read_token_files(token_files.write_token_files(null_id, BYTES, f"file://{tmp_path}/d")))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [1, None]  # null ids come last
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_token_files_keep_order_and_rows(spark, library, tmp_path, parts):
+    """An id and null ids with a third of the rows each: dealt to several parts, all there, ids ascending."""
+    ids = [7] * 60 + [None] * 60 + list(range(-20, 40))
+    table = spark.createDataFrame([(i, f"text {n} of all") for n, i in enumerate(ids)], "doc_id long, text string")
+    files = token_files.write_token_files(table, BYTES, f"file://{tmp_path}/x", end_id=2, parts=parts)
+    got = sorted(rows(token_files.read_token_files(files)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i in ids if i is not None)) + [None] * 60
+    want = sorted(crc(ids_of(library, f"text {n} of all", 2)) for n in range(180))
+    assert sorted(r["ids_crc32"] for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    if parts > 6:
+        assert max(r["n_docs"] for r in rows(files)) < 60
+
+
+@pytest.mark.parametrize("width", range(33))
+def test_block_widths(width):
+    ids = np.random.default_rng(width).integers(0, 2**width, 1000).astype(np.uint32)
+    for n in (1, 63, 64, 65, 1000):
+        assert (token_files.unpack_block(token_files.pack_block(ids[:n])) == ids[:n]).all()
 
 
 # --- HTML ---
