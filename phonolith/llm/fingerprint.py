@@ -11,9 +11,9 @@ the query fingerprints by permuted block tables: 64 bits in ``blocks`` blocks;
 for any pair within radius r some ``blocks - r`` blocks agree, so there is one
 table per choice of blocks. Both sides hold different fingerprints only.
 
-Only DataFrame functions are used. Texts are shuffled once, by ranges of
-``SPAN`` ids; the next document of a range's last row comes from a small table
-of range heads.
+Only DataFrame functions are used. Texts are shuffled once, by ranges of ids;
+the next document of a range's last row comes from a table of the ranges' heads,
+one row each.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .ranges import Ranges
+from .shared import join_hot, written
 
-#: Ids in a range; ids are unique, so a range holds at most as many rows.
-SPAN = 4096
 WORDS = 5
 _LANES = 0x0000000100000001
 
@@ -66,39 +65,40 @@ def hex64(c: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(c)), 16, "0"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(range, doc_id, text) with ``next_id`` and ``next_text``: the document of the next smaller id, after the smallest the largest."""
-    span = F.floor(F.col("doc_id") / F.lit(SPAN)).cast("long")
-    ranged = docs.withColumn("range", F.coalesce(span, F.lit(-(2**62))))
-    by = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    ranged = ranged.withColumn("place", F.row_number().over(by)).withColumn("above", F.lag("doc_id").over(by))
-    # A repeated id keeps the row with the greatest text.
-    ranged = ranged.where((F.col("place") == 1) | ~F.col("doc_id").eqNullSafe(F.col("above"))).drop("above")
-    # The greatest id of each range and its text: combined on the map side, one row per range and task.
-    top = docs.withColumn("range", F.coalesce(span, F.lit(-(2**62)))).withColumn("order", F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text"))
-    heads = top.groupBy("range").agg(F.max("doc_id").alias("head_id"), F.max_by("text", "order").alias("head_text"))
-    heads = written(heads, "fingerprint-heads")
-    # Each range's next lower range: by lead within groups of SPAN ranges, then from group to group.
-    group = F.floor(F.col("range") / F.lit(SPAN))
-    down = Window.partitionBy("group").orderBy(F.desc("range"))
-    ranges = heads.select("range", group.alias("group")).withColumn("lower", F.lead("range").over(down))
-    groups = ranges.groupBy("group").agg(F.max("range").alias("top"))
-    over = Window.orderBy(F.desc("group"))
-    everything = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select("group", F.coalesce(F.lead("top").over(over), F.max("top").over(everything)).alias("after"))
-    ranges = ranges.join(groups, "group").select("range", F.coalesce("lower", "after").alias("lower"))
-    below = ranges.join(heads.withColumnRenamed("range", "lower"), "lower").select("range", "head_id", "head_text")
-    out = ranged.withColumn("next_id", F.lead("doc_id").over(by)).withColumn("next_text", F.lead("text").over(by))
-    out = out.withColumn("last", F.lead(F.lit(1)).over(by).isNull()).join(below, "range")
-    return out.select(
+def with_next(docs: DataFrame, parts: int) -> DataFrame:
+    """``docs`` (doc_id, text) with their place and the next document's, in descending order of id, then text; nulls come last.
+
+    part, place: unique for each row. next_part, next_place, next_text: those of
+    the next document, after the last one the first.
+    """
+    ranges = Ranges.of(docs, parts, nulls_first=True)
+    dealt = ranges.dealt(docs)
+    by = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    # The first row of each part: its greatest id, combined on the map side to one row per part and task.
+    few = dealt if not ranges.whole else dealt.where(ranges.greatest() | (F.col("part") == ranges.count - 1))
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")
+    heads = written(few.groupBy("part").agg(F.max_by("text", order).alias("head_text")), "fingerprint-heads")
+    # One row for each range, whose number is a setting: the next non-empty part below, below the last one the first.
+    down = Window.orderBy(F.desc("part"))
+    everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts_below = heads.select("part", F.coalesce(F.lead("part").over(down), F.max("part").over(everything)).alias("lower"))
+    heads = heads.withColumnRenamed("part", "lower")
+    below = parts_below.join(heads, "lower")
+    rows = dealt.withColumn("place", F.row_number().over(by)).withColumn("lead_text", F.lead("text").over(by))
+    # A lead is null after the part's last row alone, as texts are not null.
+    last = F.col("lead_text").isNull()
+    return rows.join(below, "part").select(
         "doc_id",
         "text",
-        F.when(F.col("last"), F.col("head_id")).otherwise(F.col("next_id")).alias("next_id"),
-        F.when(F.col("last"), F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"),
+        "part",
+        "place",
+        F.when(last, F.col("lower")).otherwise(F.col("part")).alias("next_part"),
+        F.when(last, F.lit(1)).otherwise(F.col("place") + 1).alias("next_place"),
+        F.when(last, F.col("head_text")).otherwise(F.col("lead_text")).alias("next_text"),
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, their likeness, and ``found_id``.
 
     ``found_id`` is the document (the nearest, then of the smallest id) whose
@@ -107,30 +107,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document, in descending id order, after the last
     the first; a single document is its own next. Null text counts as empty; a
-    text without words has fingerprint zero. Of rows that repeat an id the
-    greatest text stays. Rows with a null id are one document. Other columns are
-    ignored. An empty table gives no rows.
+    text without words has fingerprint zero. Every row is a document: rows that
+    repeat an id follow each other by descending text, rows with a null id come
+    last. Very long texts are handled whole. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = with_next(docs, parts).withColumn("n_chars", F.char_length("text").cast("long"))
     half = "cast(n_chars div 2 as int)"
     pairs = pairs.withColumn(
         "edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))")
     )
-    facts = pairs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.coalesce("next_id", F.lit(-(2**63))).alias("next_key"))
-    both = pairs.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("key"),
-        F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("t")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("t")))).alias("v"),
-    ).select("key", "v.edit", shingle_hashes(F.col("v.t")).alias("terms"))
-    votes = written(vote(both.select("key", "edit", F.explode_outer("terms").alias("term")), ["key", "edit"], "term", "fp"), "fingerprints")
+    # What the result needs of a document goes along with its votes, so that texts are shuffled once.
+    along = ["doc_id", "part", "place", "next_part", "next_place", "n_chars"]
+    both = F.array(
+        F.struct(F.lit(None).cast("string").alias("edited_sha256"), F.col("text").alias("t")),
+        F.struct(F.sha2("edited", 256).alias("edited_sha256"), F.col("edited").alias("t")),
+    )
+    terms = pairs.select(*along, F.explode(both).alias("v")).select(*along, "v.edited_sha256", shingle_hashes(F.col("v.t")).alias("terms"))
+    terms = terms.select(*along, "edited_sha256", F.explode_outer("terms").alias("term"))
+    votes = written(vote(terms, [*along, "edited_sha256"], "term", "fp"), "fingerprints")
+    own = votes.where("edited_sha256 is null").drop("edited_sha256")
+    edited = votes.where("edited_sha256 is not null").select("part", "place", "edited_sha256", F.col("fp").alias("edited_fp"))
+    after = own.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("fp").alias("next_fp"))
+    out = own.join(edited, ["part", "place"]).join(after, ["next_part", "next_place"])
     # Which documents the edited text would still be found as.
-    first = votes.where("edit = 0").groupBy("fp").agg(F.min("key").alias("id"))
-    pairs = search_fingerprints(votes.where("edit = 1").select(F.col("fp").alias("q")), first, radius)
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    pairs = search_fingerprints(edited.select(F.col("edited_fp").alias("q")), first, radius)
     nearest = pairs.join(first, "fp").groupBy(F.col("q").alias("edited_fp")).agg(F.min(F.struct("distance", "id"))["id"].alias("found_id"))
-    own = votes.where("edit = 0").select("key", F.col("fp").alias("fp"))
-    edited = votes.where("edit = 1").select("key", F.col("fp").alias("edited_fp"))
-    after = own.select(F.col("key").alias("next_key"), F.col("fp").alias("next_fp"))
-    out = facts.join(own, "key").join(edited, "key").join(after, "next_key").join(nearest, "edited_fp", "left")
+    counted = edited.groupBy("edited_fp").agg(F.count(F.lit(1)).alias("n"))
+    nearest = written(counted.join(nearest, "edited_fp", "left"), "fingerprint-nearest")
+    out = join_hot(out, nearest, ["edited_fp"], "n", ["part", "place"])
     return out.select(
         "doc_id",
         "n_chars",
@@ -139,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hex64("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"),
         likeness("fp", "next_fp").alias("near_next"),
-        F.when(F.col("found_id") != -(2**63), F.col("found_id")).alias("found_id"),
+        "found_id",
     )
 
 
