@@ -5,9 +5,10 @@ each document is packed by best-fit decreasing: remainders in order of length,
 each into the open window with the least room that still holds it. A segment
 tree indexed by remaining capacity finds that window.
 
-Remainders are dealt at random to tasks of about ``PER_TASK``; each packs its
-own, holding only lengths and ids. The dealing goes by a hash of the document
-and the order within a task is fixed, so a task that runs again packs the same.
+Remainders are dealt to tasks of about ``PER_TASK``; each packs its own, holding
+only lengths and ids. They are dealt in turn from the written table of pieces, so
+rows that repeat an id or have none meet no single task, and a task that runs
+again reads the same part files and packs the same.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_bpe
-from .shared import written
+from .byte_bpe import byte_bpe, pieces_of
+from .shared import small_batches, written
 
 PER_TASK = 50_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
@@ -94,7 +95,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_col: str,
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = byte_bpe(tokenizer)
         place = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in pieces_of(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = own.encode(text) + end
@@ -124,6 +125,7 @@ def pack(
     Repeated rows are packed each; null ids stay null; other columns are
     ignored; an empty table gives no rows. Sequence ids are unique, not dense.
     """
+    small_batches(docs.sparkSession)
     pieces = written(cut(docs, tokenizer, window, end_id, id_col, text_col), "packing-pieces")
     full = pieces.where("place is not null").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -140,7 +142,8 @@ def pack(
         for at in range(0, len(rows), 10_000):
             yield _batch([(*r, first + w, o) for r, (w, o) in zip(rows[at : at + 10_000], placed[at : at + 10_000])], names)
 
-    dealt = rest.repartition(tasks, F.xxhash64("doc_id", "ids_crc32", "length"))
+    # The number of a row in its task of the written table: fixed, and unlike a hash of the row different in equal rows.
+    dealt = rest.withColumn("turn", F.xxhash64(F.monotonically_increasing_id())).repartition(tasks, "turn").drop("turn")
     return full.unionByName(dealt.mapInArrow(packed, _PACKED))
 
 
