@@ -1,38 +1,44 @@
 """Operator 7, line dedup: sharded cuckoo filters over exact reference counts.
 
-``LineIndex`` holds three tables on shared files:
+``LineIndex`` holds three tables on shared files, each by shard of the line's hash:
 
 * postings (k1, k2, doc_id): each document's different long lines, by a 128-bit hash;
 * counts (k1, k2, owner, documents): the lines of two documents or more, exactly;
-* filters (shard, part, data): a cuckoo filter over the counted lines of a shard.
+* filters (data): a cuckoo filter over the counted lines of a shard.
 
-``insert`` and ``delete`` touch the counts of the affected lines only and add or
-remove exactly those keys in the filters whose line became or ceased to be
-shared, so inserting documents and deleting them again restores the index.
+``insert`` and ``delete`` read and write the shards of the affected lines alone
+and add or remove exactly those keys in the filters whose line became or ceased
+to be shared, so inserting documents and deleting them again restores the index.
+A filter that is full is made anew from its shard's counts; when shards hold
+twice what they should, their number doubles.
 
 ``apply`` keeps postings that a filter lets pass, joins them with the exact
-counts, and drops the lines of all documents but the owner. The filters only
-save work: they go to all tasks when their checked size is within
-``FILTER_BYTES``, else every posting takes the exact join.
+counts, and drops the lines of all documents but the owner. The filters go to
+the tasks for as many shards at a time as ``FILTER_BYTES`` hold, and each such
+group reads its own postings, so they work at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import join_hot, new_folder, written
 
 LEAST = 10
 FILTER_BYTES = 32 << 20
 PER_SHARD = 200_000
+#: Tasks that a shard's postings are dealt to, as a line may be in a third of all documents.
+SPREAD = 16
 _SPACE = b" \t\n\x0b\x0c\r"
 #: The document of all rows with a null id; never an owner beside another.
 _NO_ID = 2**63 - 1
@@ -145,91 +151,176 @@ def _counts(postings: DataFrame) -> DataFrame:
     return found.where("owner < latest").drop("latest")
 
 
+def _shard(shards: int):
+    return F.col("k1").bitwiseAND(F.lit(shards - 1)).cast("int").alias("shard")
+
+
+def _filter_of(keys: pd.DataFrame) -> pd.DataFrame:
+    """(shard, data): a filter of all keys of one shard."""
+    room = max(8, len(keys))
+    own = CuckooFilter.sized(room)
+    while not own.insert(keys["k1"].to_numpy("<i8"), keys["k2"].to_numpy("<i8")):
+        room *= 2
+        own = CuckooFilter.sized(room)
+    return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "data": [own.slots.tobytes()]})
+
+
+def _filter_after(old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+    """(shard, data) after the changes; no data where the filter is full and must be made anew."""
+    shard, data = int((old if len(old) else changes)["shard"].iloc[0]), None
+    if len(old):
+        own = CuckooFilter.loaded(old["data"].iloc[0])
+        halves = lambda c: [changes.loc[changes["change"] == c, k].to_numpy("<i8") for k in ("k1", "k2")]
+        own.delete(*halves(-1))
+        data = own.slots.tobytes() if own.insert(*halves(1)) else None
+    return pd.DataFrame({"shard": [shard], "data": pd.Series([data], dtype=object)})
+
+
+class Shards:
+    """A table in one folder for each shard and writing: shard -> folders. A change writes the shards it touches alone."""
+
+    def __init__(self, spark: SparkSession, schema: str, folders: dict[int, list[str]] | None = None):
+        self.spark, self.schema, self.folders = spark, schema, folders or {}
+
+    def read(self, shards: Iterable[int] | None = None, named: bool = False) -> DataFrame:
+        """The rows of some shards, or of all; ``named``: with the shard before them."""
+        chosen = self.folders if shards is None else [s for s in shards if s in self.folders]
+        paths = [p for s in sorted(chosen) for p in self.folders[s]]
+        if not paths:
+            return self.spark.createDataFrame([], ("shard int, " if named else "") + self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        return rows.select(F.regexp_extract("_metadata.file_path", r"shard=(\d+)", 1).cast("int").alias("shard"), "*") if named else rows
+
+    def _write(self, rows: DataFrame, name: str, spread_by: str | None) -> dict[int, list[str]]:
+        """Writes rows (with shard) by shard; a shard's rows go to a few tasks."""
+        folder = new_folder(self.spark, name)
+        salt = [F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))] if spread_by else []
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        rows.select("shard", *names).repartition("shard", *salt).write.partitionBy("shard").parquet(folder)
+        # Which folders came to exist: at most one row for each shard.
+        found = self.spark.read.parquet(folder).select("shard").distinct().collect() if not _is_empty(self.spark, folder) else []
+        return {r[0]: [f"{folder}/shard={r[0]}"] for r in found}
+
+    def replaced(self, rows: DataFrame, shards: Iterable[int], name: str, spread_by: str | None = None) -> Shards:
+        new = self._write(rows, name, spread_by)
+        kept = {s: p for s, p in self.folders.items() if s not in set(shards)}
+        return Shards(self.spark, self.schema, kept | new)
+
+    def appended(self, rows: DataFrame, name: str, spread_by: str | None = None) -> Shards:
+        new = self._write(rows, name, spread_by)
+        return Shards(self.spark, self.schema, {s: self.folders.get(s, []) + new.get(s, []) for s in self.folders | new})
+
+
+def _is_empty(spark: SparkSession, folder: str) -> bool:
+    """Whether a write by shard left no shard."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return not any("shard=" in str(f.getPath()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+
+_POSTINGS, _COUNTS, _FILTERS = "k1 long, k2 long, doc_id long", "k1 long, k2 long, owner long, documents long", "data binary"
+
+
 class LineIndex:
-    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int):
-        self.postings, self.counts, self.filters, self.shards = postings, counts, filters, shards
+    """Postings, counts and filters by shard. ``shards`` is a power of two: a key's shard is the low bits of its hash."""
+
+    def __init__(self, postings: Shards, counts: Shards, filters: Shards, shards: int, per_shard: int):
+        self._postings, self._counts, self._filters, self.shards, self.per_shard = postings, counts, filters, shards, per_shard
+
+    postings = property(lambda self: self._postings.read())
+    counts = property(lambda self: self._counts.read())
+
+    filters = property(lambda self: self._filters.read(named=True))
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_shard: int = PER_SHARD) -> LineIndex:
         postings = written(postings_of(docs, id_col, text_col), "line-postings")
-        counts = written(_counts(postings), "line-counts")
-        shards = max(1, -(-counts.count() // per_shard))
-        empty = docs.sparkSession.createDataFrame([], "shard int, data binary")
-        filters = written(cls._changed(empty, counts.select("k1", "k2", F.lit(1).alias("change")), counts, shards), "line-filters")
-        return cls(postings, counts, filters, shards)
-
-    @staticmethod
-    def _shard(shards: int):
-        return F.expr(f"cast(pmod(k1, {shards}) as int)").alias("shard")
+        return cls._of(postings, written(_counts(postings), "line-counts"), per_shard)
 
     @classmethod
-    def _changed(cls, filters: DataFrame, changes: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
-        """Filters after ``changes`` (k1, k2, change 1 or -1); a filter that is full is built anew from ``counts``."""
-        keys = changes.select(cls._shard(shards), "k1", "k2", "change")
-        # Kept keys stand by with change 0, for filters that must grow.
-        keys = keys.unionByName(counts.select(cls._shard(shards), "k1", "k2", F.lit(0).alias("change")))
-
-        def change(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            shard = int((old if len(old) else new)["shard"].iloc[0])
-            own = CuckooFilter.loaded(old["data"].iloc[0]) if len(old) else None
-            halves = lambda c: [new.loc[new["change"] == c, k].to_numpy("<i8") for k in ("k1", "k2")]
-            if own is not None:
-                own.delete(*halves(-1))
-                if not own.insert(*halves(1)):
-                    own = None
-            if own is None:
-                keys, room = halves(0), max(8, int((new["change"] == 0).sum()))
-                own = CuckooFilter.sized(room)
-                while not own.insert(*keys):
-                    room *= 2
-                    own = CuckooFilter.sized(room)
-            return pd.DataFrame({"shard": [shard], "data": [own.slots.tobytes()]})
-
-        return filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(change, "shard int, data binary")
-
-    def _moved(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
+    def _of(cls, postings: DataFrame, counts: DataFrame, per_shard: int) -> LineIndex:
+        spark = postings.sparkSession
+        shards = 1 << max(0, math.ceil(math.log2(max(1, counts.count() / per_shard))))
+        shard = _shard(shards)
+        filters = counts.select(shard, "k1", "k2").groupBy("shard").applyInPandas(_filter_of, "shard int, data binary")
+        return cls(
+            Shards(spark, _POSTINGS).appended(postings.withColumn("shard", shard), "line-postings", "doc_id"),
+            Shards(spark, _COUNTS).appended(counts.withColumn("shard", shard), "line-counts"),
+            Shards(spark, _FILTERS).appended(filters, "line-filters"),
+            shards,
+            per_shard,
+        )
+
+    def _moved(self, postings: Shards, touched: DataFrame) -> LineIndex:
         """The index with new postings, of which only ``touched`` (k1, k2) may count differently."""
-        touched = written(touched.select("k1", "k2").distinct(), "line-touched")
-        now = _counts(postings.join(touched, ["k1", "k2"], "left_semi"))
-        was = self.counts.join(touched, ["k1", "k2"], "left_semi")
-        counts = written(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(now), "line-counts")
-        added = counts.join(touched, ["k1", "k2"], "left_semi").join(was, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(1).alias("change"))
-        gone = was.join(counts, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(-1).alias("change"))
-        filters = written(self._changed(self.filters, added.unionByName(gone), counts, self.shards), "line-filters")
-        return LineIndex(postings, counts, filters, self.shards)
+        shard = _shard(self.shards)
+        touched = written(touched.select("k1", "k2").distinct().withColumn("shard", shard), "line-touched")
+        now_in = [r[0] for r in touched.select("shard").distinct().collect()]  # at most one row for each shard
+        keys = touched.select("k1", "k2")
+        held = self._counts.read(now_in)
+        was = held.join(keys, ["k1", "k2"], "left_semi")
+        now = written(_counts(postings.read(now_in).join(keys, ["k1", "k2"], "left_semi")), "line-now")
+        counts = self._counts.replaced(held.join(keys, ["k1", "k2"], "left_anti").unionByName(now).withColumn("shard", shard), now_in, "line-counts")
+        added = now.join(was, ["k1", "k2"], "left_anti").select(shard, "k1", "k2", F.lit(1).alias("change"))
+        gone = was.join(now, ["k1", "k2"], "left_anti").select(shard, "k1", "k2", F.lit(-1).alias("change"))
+        changes = written(added.unionByName(gone), "line-changes")
+        # Only the filters of shards with changes, and only the changes, go to a task.
+        changed_in = [r[0] for r in changes.select("shard").distinct().collect()]
+        old = self._filters.read(changed_in, named=True)
+        new = written(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_filter_after, "shard int, data binary"), "line-filters")
+        full = [r[0] for r in new.where("data is null").select("shard").collect()]
+        again = counts.read(full).select(shard, "k1", "k2").groupBy("shard").applyInPandas(_filter_of, "shard int, data binary")
+        filters = self._filters.replaced(new.where("data is not null").unionByName(again), changed_in, "line-filters")
+        after = LineIndex(postings, counts, filters, self.shards, self.per_shard)
+        if counts.read().count() > 2 * self.per_shard * self.shards:  # all shards split
+            return LineIndex._of(after.postings, after.counts, self.per_shard)
+        return after
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
+        """The index with more documents: their postings are appended, the counts of their lines' shards written anew."""
         new = written(postings_of(docs, id_col, text_col), "line-postings")
-        return self._moved(written(self.postings.unionByName(new), "line-postings"), new)
+        return self._moved(self._postings.appended(new.withColumn("shard", _shard(self.shards)), "line-postings", "doc_id"), new)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
+        """The index without some documents: the shards with lines of theirs are written anew."""
         gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id")).distinct()
-        touched = self.postings.join(gone, "doc_id", "left_semi")
-        return self._moved(written(self.postings.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-postings"), touched)
+        touched = written(self.postings.join(gone, "doc_id", "left_semi").select("k1", "k2"), "line-gone")
+        now_in = [r[0] for r in touched.select(_shard(self.shards)).distinct().collect()]
+        kept = self._postings.read(now_in).join(gone, "doc_id", "left_anti").withColumn("shard", _shard(self.shards))
+        return self._moved(self._postings.replaced(kept, now_in, "line-postings", "doc_id"), touched)
 
     def passing(self) -> DataFrame:
-        """Postings that may be counted, by the filters where these are small enough to send out."""
-        size = self.filters.agg(F.sum(F.length("data"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return self.postings
-        sent = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
-        shards = self.shards
+        """Postings that may be counted, by the filters: as many shards at a time as ``FILTER_BYTES`` hold, one at least."""
+        sizes = {r[0]: r[1] for r in self.filters.select("shard", F.length("data")).collect()}
+        spark, shards, parts, group, held = self._filters.spark, self.shards, [], [], 0
+        for s in [*sorted(sizes), None]:
+            if group and (s is None or held + sizes[s] > FILTER_BYTES):
+                parts.append(self._probed(spark, group, shards))
+                group, held = [], 0
+            if s is not None:
+                group.append(s)
+                held += sizes[s]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _POSTINGS)
+
+    def _probed(self, spark: SparkSession, group: list[int], shards: int) -> DataFrame:
+        filters = self._filters.read(group, named=True).collect()  # within FILTER_BYTES, or one shard's
+        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in filters})
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {s: CuckooFilter.loaded(d) for s, d in sent.value.items()}
             for batch in batches:
                 k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-                keep, shard = np.zeros(len(k1), bool), k1 % shards
+                keep, shard = np.zeros(len(k1), bool), k1 & (shards - 1)
                 for s, f in own.items():
                     at = np.flatnonzero(shard == s)
                     keep[at] = f.contains(k1[at], k2[at])
                 yield batch.filter(pa.array(keep))
 
-        return self.postings.mapInArrow(probe, "k1 long, k2 long, doc_id long")
+        return self._postings.read(group).mapInArrow(probe, _POSTINGS)
 
     def drops(self) -> DataFrame:
         """(doc_id, dropped): the hashes of the lines that each document loses, as pairs k1, k2 in turn."""
-        lost = self.passing().join(self.counts, ["k1", "k2"]).where("doc_id > owner")
+        counts = self.counts
+        lost = join_hot(self.passing(), counts, ["k1", "k2"], "documents", ["doc_id"]).where("doc_id > owner")
         return lost.groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("k1", "k2"))).alias("dropped"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

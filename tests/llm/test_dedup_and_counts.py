@@ -28,7 +28,7 @@ def brute_exact(docs):
     return {(i, min(m)[1], len(m), hashlib.sha256(n.encode()).hexdigest()) for n, m in groups.items() for _, i in m}
 
 
-@pytest.mark.parametrize("capacity,depth", [(50_000, 12), (3, 12), (1, 4)])
+@pytest.mark.parametrize("capacity,depth", [(None, None), (3, 12), (1, 4)])
 def test_exact_dedup(docs, capacity, depth):
     got = rows(exact_dedup.dedup_exact(docs, capacity=capacity, max_depth=depth))
     assert len(got) == docs.count()
@@ -53,19 +53,34 @@ def test_colliding_hashes_stay_apart(docs, monkeypatch):
     """With a hash of few values the chains are told apart by their bytes."""
     real = F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(7)))
-    got = rows(exact_dedup.dedup_exact(docs))
-    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got} == brute_exact(docs.select("doc_id", "text").collect())
-    assert max(r["chain"] for r in got) > 0
+    want = brute_exact(docs.select("doc_id", "text").collect())
+    index = exact_dedup.ExactIndex.build(docs.where("doc_id % 2 = 0"), capacity=30).insert(docs.where("doc_id % 2 = 1"))
+    for got in (rows(exact_dedup.dedup_exact(docs)), rows(index.rows())):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got} == want
+        assert max(r["chain"] for r in got) > 0
 
 
 def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    got = rows(exact_dedup.directory(entries, 50, 8))
-    sizes = defaultdict(int)
-    slots = {r["slot"]: r for r in got}
-    for r in rows(entries.select(exact_dedup._slot("h", 8).alias("s"))):
-        sizes[slots[r["s"]]["bucket"]] += 1
-    assert max(sizes.values()) <= 50 and min(r["depth"] for r in got) > 0
+    slots = spark.range(1000).select(F.xxhash64("id").alias("h")).groupBy(exact_dedup._slot("h", 8).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    got = rows(exact_dedup.directory(slots.withColumn("base", F.lit(0)), 50, 8))
+    assert max(r["n"] for r in got) <= 50 and min(r["depth"] for r in got) > 0
+    # Each slot lies in exactly one bucket.
+    held = [s for r in got for s in range(r["prefix"] << 8 - r["depth"], r["prefix"] + 1 << 8 - r["depth"])]
+    assert len(held) == len(set(held)) and sum(r["n"] for r in got) == 1000
+
+
+def test_insertion_splits_buckets_and_keeps_others(docs, spark):
+    """Documents inserted later give the same as all at once; only touched buckets get new files."""
+    first, second = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    index = exact_dedup.ExactIndex.build(first, capacity=20)
+    more = index.insert(second)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows(more.rows())} == brute_exact(docs.select("doc_id", "text").collect())
+    assert max(r["n"] for r in rows(more.buckets)) <= 20 < more.groups().count()
+    assert max(r["depth"] for r in rows(more.buckets)) >= max(r["depth"] for r in rows(index.buckets))
+    one = more.insert(docs.limit(1))
+    assert sum(r["generation"] == 3 for r in rows(one.buckets)) == 1 and one.buckets.count() == more.buckets.count()
+    # The index from before still gives what it gave.
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows(index.rows())} == brute_exact(first.select("doc_id", "text").collect())
 
 
 # --- token counts ---
@@ -142,26 +157,47 @@ def test_fingerprints_by_brute_force(spark, docs):
         assert r["near_next"] == like(r["fingerprint"], got[after[i]]["fingerprint"])
 
 
-def test_fingerprints_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "SPAN", 3)
-    ids = [0, 1, 2, 7, 8, 30, 31, 32, 100, 5000]
-    table = spark.createDataFrame([(i, f"text {i}" * (i % 5 + 1)) for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_id"] for r in rows(fingerprint.with_next(table))}
-    order = sorted(ids, reverse=True)
-    assert got == {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_fingerprints_over_many_ranges(spark, parts):
+    """Sparse, repeated and null ids: each row's next is the one below it, after the last the first."""
+    ids = [0, 1, 2, 7, 8, 30, 31, 32, 100, 5000, -(2**62), 2**62] + [9] * 40 + [None] * 40
+    table = spark.createDataFrame([(i, f"text {n}" * (n % 5 + 1)) for n, i in enumerate(ids)], "doc_id long, text string")
+    got = {(r["part"], r["place"]): r for r in rows(fingerprint.with_next(table, parts))}
+    assert len(got) == len(ids)
+    at = max(got, key=lambda k: (k[0], -k[1]))
+    seen = []
+    for _ in ids:
+        r = got[at]
+        seen.append((r["doc_id"], r["text"]))
+        at = r["next_part"], r["next_place"]
+        assert r["next_text"] == got[at]["text"]
+    assert at == max(got, key=lambda k: (k[0], -k[1]))
+    assert [i for i, _ in seen] == sorted((i for i in ids if i is not None), reverse=True) + [None] * 40
+    assert sorted(map(str, seen)) == sorted(map(str, ((r["doc_id"], r["text"]) for r in rows(table))))
 
 
 def test_fingerprints_odd(odd, nothing, null_id, spark):
-    got = {r["doc_id"]: r for r in rows(fingerprint.fingerprints(odd))}
-    assert set(got) == {r[0] for r in ODD}
+    found = rows(fingerprint.fingerprints(odd))
+    assert sorted(r["doc_id"] for r in found) == sorted(r[0] for r in ODD)  # repeated rows are documents each
+    got = {r["doc_id"]: r for r in found}
     assert got[1]["fingerprint"] == got[2]["fingerprint"] == got[3]["fingerprint"] == "0" * 16
     assert got[1]["n_chars"] == 0 and got[7]["n_chars"] == len(ODD[7][1])
     assert fingerprint.fingerprints(nothing).count() == 0
-    assert fingerprint.fingerprints(null_id).count() == 2
+    assert fingerprint.fingerprints(null_id.unionByName(null_id.limit(1))).count() == 3
     lone = rows(fingerprint.fingerprints(null_id.where("doc_id = 1")))[0]
     assert lone["near_next"] == 1.0  # a single document is its own next
 
 
+def test_hot_keys_join_whole(spark):
+    from phonolith.llm.shared import join_hot
+
+    big = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 0, id) key")
+    unique = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = join_hot(big, unique, ["key"], "n", ["id"])
+    assert got.columns == ["key", "id", "least"]
+    assert got.count() == 30_000 and got.where("least <> if(key = 0, 0, id)").isEmpty()
+
+
 def test_search_finds_all(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63, 30, dtype=np.int64).tolist()
@@ -210,9 +246,13 @@ def test_line_dedup(docs):
     assert sum(w[2] for w in want) > 0
 
 
-def test_line_dedup_without_filters(docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
-    assert digest(line_dedup.dedup_lines(docs)) == brute_lines(docs.select("doc_id", "text").collect())
+@pytest.mark.parametrize("limit", [0, 5000])
+def test_line_dedup_with_shards_in_turn(docs, monkeypatch, limit):
+    """However few filters are sent at a time, the result is the same."""
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", limit)
+    index = line_dedup.LineIndex.build(docs, per_shard=40)
+    assert index.shards >= 4
+    assert digest(index.apply(docs)) == brute_lines(docs.select("doc_id", "text").collect())
 
 
 def test_line_dedup_odd(odd, nothing, null_id):
@@ -244,6 +284,24 @@ def test_insert_and_delete_are_reversible(docs):
     assert digest(gone.apply(rest)) == brute_lines(rest.select("doc_id", "text").collect())
 
 
+def test_changes_read_and_write_touched_shards_alone(docs, spark):
+    index = line_dedup.LineIndex.build(docs, per_shard=30)
+    line = "a line that stands in two new documents"
+    more = index.insert(spark.createDataFrame([(10**6, line), (10**6 + 1, line)], "doc_id long, text string"))
+    for kind in ("_postings", "_counts", "_filters"):
+        before, after = getattr(index, kind).folders, getattr(more, kind).folders
+        assert sum(before.get(s) != after[s] for s in after) == 1
+    assert more.counts.count() == index.counts.count() + 1
+    assert state(more.delete(spark.createDataFrame([(10**6,), (10**6 + 1,)], "doc_id long"))) == state(index)
+
+
+def test_shards_split(docs):
+    index = line_dedup.LineIndex.build(docs.limit(5), per_shard=20)
+    more = index.insert(docs.join(docs.limit(5).select("doc_id"), "doc_id", "left_anti"))
+    assert more.shards > index.shards
+    assert digest(more.apply(docs)) == brute_lines(docs.select("doc_id", "text").collect())
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = rng.integers(-(2**63), 2**63, (5000, 2), dtype=np.int64)
