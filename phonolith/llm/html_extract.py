@@ -15,27 +15,31 @@ page's article too. No node of a host with too few pages to judge is removed for
 low importance alone.
 
 The statistics are grouped counts with map-side sums over distinct rows. The
-contents to remove go to the pages by a join on the host, one row for each host;
-each is on at least P to the power 0.7 pages, so they are few.
+contents to remove are each on at least P to the power 0.7 of a host's P pages,
+so they are few; their keys go to the tasks up to a checked number, beyond it to
+the pages by a join on the host.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .byte_bpe import pieces_of
+from .shared import small_batches, written
 
 #: Pages a host needs before its statistics count, and the importance below which a node goes.
 PAGES, IMPORTANCE = 8, 0.3
+#: Removed contents (host and key) that are sent to all tasks at most.
+SENT = 200_000
 #: Elements nested deeper stand beside each other; browsers do the same.
 DEPTH = 400
 # Fixed values of HTML.
@@ -66,14 +70,16 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "children", "parent", "depth")
+    __slots__ = ("tag", "path", "noise", "main", "children", "parent", "depth", "key")
 
     def __init__(self, tag: str, path: str, parent: Node | None, noise: int, main: bool):
         self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
         self.children: list = []
+        self.key = 0
         self.depth: int = parent.depth + 1 if parent is not None else 0
 
 
@@ -181,24 +187,32 @@ def parse(source: str) -> Node:
     return root
 
 
-def _text(node: Node) -> str:
-    """All text below, for the content statistics."""
-    return " ".join(html.unescape(c) if isinstance(c, str) else _text(c) for c in node.children)
-
-
-def _key(node: Node) -> int:
-    """A hash of the node's path, presentation and content."""
-    look = " ".join(c.tag for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE)
-    return _hash("\0".join((node.path, look, " ".join(_text(node).split()))))
+def _fold(node: Node) -> tuple[int, int]:
+    """The runs of text below as a polynomial hash and their number; sets ``key`` of each block on the way, once."""
+    total, n = 0, 0
+    for c in node.children:
+        if isinstance(c, str):
+            text = " ".join(html.unescape(c).split())
+            if not text:
+                continue
+            h, k = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")), 1
+        else:
+            h, k = _fold(c)
+        total, n = (total * pow(_BASE, k, 1 << 64) + h) % (1 << 64), n + k
+    if node.tag not in _INLINE:
+        look = " ".join([c.tag for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE])
+        node.key = _hash(f"{node.path}\0{look}\0{n}\0{total}")
+    return total, n
 
 
 def style_nodes(root: Node) -> Iterator[tuple[str, int]]:
-    """(path, key) of the block nodes outside noise."""
+    """(path, key) of the block nodes outside noise; a key is a hash of path, presentation and content."""
+    _fold(root)
     stack = [root]
     while stack:
         node = stack.pop()
         if node.parent is not None and node.tag not in ("html", "body"):
-            yield node.path, _key(node)
+            yield node.path, node.key
         stack += [c for c in node.children if isinstance(c, Node) and not c.noise and c.tag not in _INLINE]
 
 
@@ -208,10 +222,12 @@ def _hash(text: str) -> int:
 
 
 def main_text(root: Node, removed: frozenset[int] = frozenset()) -> str:
-    """The blocks of the remaining branches in page order, joined by two line ends.
+    """The blocks of the remaining branches in page order, joined by two line ends. ``removed``: keys of contents to leave out.
 
     A page with an article or main element is read from its outermost ones alone.
     """
+    if removed:
+        _fold(root)
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -225,7 +241,7 @@ def main_text(root: Node, removed: frozenset[int] = frozenset()) -> str:
         for c in node.children:
             if isinstance(c, str):
                 piece.append(c)
-            elif c.noise or (removed and c.tag not in _INLINE and _key(c) in removed):
+            elif c.noise or (removed and c.tag not in _INLINE and c.key in removed):
                 if c.tag not in _INLINE:
                     close()
             elif c.tag == "br":
@@ -261,11 +277,11 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def style_tree(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(host, node, pages, importance): the contents of the merged tree, of style nodes on at least ``PAGES`` pages."""
+def style_tree(pages: DataFrame, url_col: str, html_col: str, importance: float, least_pages: int) -> DataFrame:
+    """(host, node, pages, importance): the contents of the merged tree below ``importance``, of style nodes on at least ``least_pages`` pages."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             out = []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root, host = parse(source or ""), host_of(url)
@@ -278,9 +294,12 @@ def style_tree(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
     seen = pages.select(url_col, html_col).mapInArrow(nodes, "host string, page long, path long, node long")
     seen = written(seen.distinct(), "style-nodes")
-    have = seen.groupBy("host", "path").agg(F.count_distinct("page").alias("pages")).where(f"pages >= {PAGES}")
-    each = seen.groupBy("host", "path", "node").agg(F.count_distinct("page").alias("n"))
-    return each.join(have, ["host", "path"]).select("host", "node", "pages", (1 - F.log("n") / F.log("pages")).alias("importance"))
+    have = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    # A content below the importance is on this many pages at least, as the host has at least ``least_pages``.
+    fewest = max(2, math.ceil(least_pages ** (1 - importance) - 1e-9))
+    each = seen.groupBy("host", "path", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fewest)
+    found = each.join(have, ["host", "path"]).select("host", "node", "pages", (1 - F.log("n") / F.log("pages")).alias("importance"))
+    return found.where(F.col("importance") < importance)
 
 
 def extract(
@@ -289,33 +308,45 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     importance: float = IMPORTANCE,
+    least_pages: int = PAGES,
+    sent: int = SENT,
 ) -> DataFrame:
     """page_id, url, text, n_chars of each page.
 
     Null html counts as empty (text empty); a null or odd url belongs to the
-    host of no name; repeated rows each give a row; other columns are ignored;
-    an empty table gives no rows.
+    host of no name; repeated rows each give a row; very long pages are read
+    whole, elements nested beyond ``DEPTH`` as neighbours; other columns are
+    ignored, whatever their names; an empty table gives no rows. Up to ``sent``
+    removed contents go to all tasks, more to the pages by a join on the host.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = style_tree(rows, "page_id", "url", "html")
-    low = tree.where(F.col("importance") < importance)
-    removed = low.groupBy("host").agg(F.collect_set("node").alias("removed"))
-    removed = written(removed, "style-removed")
-    host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
-    if removed.isEmpty():
+    small_batches(pages.sparkSession)
+    removed = written(style_tree(rows, "url", "html", importance, least_pages).select("host", "node"), "style-removed")
+    few = None
+    if removed.count() <= sent:
+        by_host: dict[str, set[int]] = {}
+        for r in removed.collect():  # at most ``sent`` rows
+            by_host.setdefault(r["host"], set()).add(r["node"])
+        few = pages.sparkSession.sparkContext.broadcast({h: frozenset(n) for h, n in by_host.items()})
         found = rows.withColumn("removed", F.lit(None).cast("array<long>"))
     else:
-        found = rows.withColumn("host", host("url")).join(removed, "host", "left")
+        host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
+        each = removed.groupBy("host").agg(F.collect_set("node").alias("removed"))
+        found = rows.withColumn("host", host("url")).join(each, "host", "left")
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                main_text(parse(source or ""), frozenset(() if gone is None else map(int, gone)))
-                for source, gone in zip(batch["html"], batch["removed"])
-            ]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: frozenset[int] = frozenset()
+        for batch in pieces_of(batches):
+            out = []
+            for url, source, gone in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "removed"))):
+                low = few.value.get(host_of(url), none) if few is not None else frozenset(gone or ())
+                out.append(main_text(parse(source or ""), low))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
-    return found.select("page_id", "url", "html", "removed").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return found.select("page_id", "url", "html", "removed").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:

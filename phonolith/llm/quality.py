@@ -1,18 +1,21 @@
 """Operator 9, quality classifier by co-training two views.
 
-The text view sees shape statistics of the text and which words of a vocabulary
-it has; the metadata view sees source, language and length. Starting from the
-labels, in each round each view scores a pool of unlabelled documents and hands
-the most confident to the other as pseudo-labels. At the end the views' scores
-are calibrated together on labels held out of the training, and the combined
-model scores every document.
+The text view sees shape statistics of the text and which words it has, hashed
+to ``BUCKETS`` and raised by how far apart their rates in the two classes are;
+the metadata view sees source, language and length. Features of
+whole texts are computed once for every document and written. Starting from the
+labels, in each round each view scores all unlabelled documents and hands the
+``most`` it is surest of, for each class, to the other as pseudo-labels. At the
+end the views' scores are calibrated together on labels held out of the
+training, and the combined model scores every document.
 
 One model predicts quality, a second toxicity; a document stays when its
 quality is at least ``threshold`` and its toxicity below it.
 
-The fit uses at most ``max_labelled`` labelled and ``max_pool`` other documents
-and ``max_words`` words, the documents with the least hashes of their ids. These
-bounds are parameters; scoring covers whole texts of all documents.
+The fit takes at most ``max_labelled`` labelled documents, those with the least
+hashes of their ids, and ``most`` pseudo-labels for each class, view and round.
+These bounds are parameters; no unlabelled document is left out of the search
+for the surest, and no word out of the features.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .byte_bpe import pieces_of
+from .shared import small_batches, written
 
 _WORDS = re.compile(r"[^\W\d_]+")
-META = 64
+META, BUCKETS = 64, 1 << 16
+#: Labelled documents of the fit, pseudo-labels for each class, view and round, and how sure a view must be of one.
+MAX_LABELLED, MOST, SURE = 6000, 150, 0.97
 #: Class of each byte: 0 other, 1 upper case, 2 digit, 3 punctuation, 4 white space.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = 1
@@ -68,8 +73,19 @@ def shape(text: str) -> list[float]:
     ]
 
 
-def word_set(text: str) -> set[str]:
-    return set(_WORDS.findall(text.lower()))
+class Buckets:
+    """The sorted numbers of a text's different words."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.known = most, {}
+
+    def of(self, text: str) -> list[int]:
+        words, known = set(_WORDS.findall(text.lower())), self.known
+        if len(known) > self.most:
+            known.clear()
+        for w in words - known.keys():
+            known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) % BUCKETS
+        return sorted(set(map(known.__getitem__, words)))
 
 
 def metadata(lang: str | None, source: str | None, n_chars: float | None) -> list[int]:
@@ -117,162 +133,253 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, w: np.ndarray | None = None, steps: int = 120, penalty: float = 1e-4) -> np.ndarray:
-    """Logistic regression by Adam over all rows."""
+def fit(x: Sparse, y: np.ndarray, w: np.ndarray | None = None, steps: int = 120, penalty: float = 1e-3, gain: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Adam over all rows; ``gain`` multiplies the features, and the weights that come back are without it."""
     n = x.dense.shape[1] + x.width + 1
     w = np.zeros(n) if w is None else w.copy()
+    gain = np.ones(n) if gain is None else gain
     m, v = np.zeros(n), np.zeros(n)
     for t in range(1, steps + 1):
-        g = x.gradient(_sigmoid(x.logits(w)) - y) / max(1, len(y)) + penalty * w
+        g = gain * x.gradient(_sigmoid(x.logits(gain * w)) - y) / max(1, len(y)) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
+def contrast(x: Sparse, y: np.ndarray) -> np.ndarray:
+    """Gain of each feature: how far its rates in the two classes are apart, as a log ratio; words of one or two rows have none."""
+    ones, zeros = np.bincount(x.index, y[x.rows], minlength=x.width), np.bincount(x.index, 1 - y[x.rows], minlength=x.width)
+    ratio = np.abs(np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / ((1 - y).sum() + 1)))
+    return np.concatenate([np.ones(x.dense.shape[1]), np.where(ones + zeros > 2, ratio, 0.0), [1.0]])
+
+
+@dataclass
+class Row:
+    """A document's features, and its label if known."""
+
+    shape: np.ndarray
+    words: np.ndarray
+    meta: np.ndarray
+    y: float = math.nan
+
+
 @dataclass
 class View:
     text: np.ndarray
     meta: np.ndarray
     mix: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
 
-
-def co_train(text: Sparse, meta: Sparse, y: np.ndarray, rounds: int = 3, share: float = 0.1, sure: float = 0.97) -> View | None:
-    """Both views' weights and their calibration. ``y`` has 0, 1 or nan (unlabelled); None without both labels."""
-    known = np.flatnonzero(~np.isnan(y))
-    if len(set(y[known])) < 2:
-        return None
-    held = known[::5] if len(known) >= 50 else known
-    train = np.setdiff1d(known, held) if len(known) >= 50 else known
-    if len(set(y[train])) < 2:
-        train = held = known
-    pool = np.flatnonzero(np.isnan(y))
-    own = {"text": {i: y[i] for i in train}, "meta": {i: y[i] for i in train}}
-    views, weights = {"text": text, "meta": meta}, {"text": None, "meta": None}
-
-    def train_views(steps: int) -> None:
-        for name, x in views.items():
-            rows = np.array(sorted(own[name]))
-            weights[name] = fit(x.take(rows), np.array([own[name][i] for i in rows]), weights[name], steps)
-
-    train_views(200)
-    for _ in range(rounds):
-        most = max(1, int(share * len(pool)))
-        for name, other in (("text", "meta"), ("meta", "text")):
-            left = np.array([i for i in pool if i not in own[other]], np.int64)
-            if not len(left):
-                continue
-            p = _sigmoid(views[name].take(left).logits(weights[name]))
-            best = np.argsort(-np.abs(p - 0.5), kind="stable")[:most]
-            own[other] |= {int(left[i]): float(p[i] > 0.5) for i in best if abs(p[i] - 0.5) >= sure - 0.5}
-        train_views(40)
-    z = np.stack([text.take(held).logits(weights["text"]), meta.take(held).logits(weights["meta"])], 1)
-    scale = np.maximum(1.0, np.abs(z).max(0))
-    mix = fit(Sparse.of(z / scale, [[]] * len(held), 0), y[held], np.array([*scale, 0.0]), 300, 1e-3)
-    return View(weights["text"], weights["meta"], np.array([mix[0] / scale[0], mix[1] / scale[1], mix[2]]))
+    def scores(self, text: Sparse, meta: Sparse) -> np.ndarray:
+        return _sigmoid(self.mix[0] * text.logits(self.text) + self.mix[1] * meta.logits(self.meta) + self.mix[2])
+
+
+def sparse_of(rows: list[Row], mean: np.ndarray, scale: np.ndarray) -> tuple[Sparse, Sparse]:
+    """Both views of some rows."""
+    shapes = np.array([r.shape for r in rows], float).reshape(len(rows), len(mean))
+    return Sparse.of((shapes - mean) / scale, [r.words for r in rows], BUCKETS), Sparse.of(np.zeros((len(rows), 0)), [r.meta for r in rows], META)
+
+
+class CoTraining:
+    """Two views of one target that teach each other."""
+
+    def __init__(self, known: list[Row], mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale = mean, scale
+        several = len(known) >= 50
+        self.held = known[::5] if several else known
+        start = [r for i, r in enumerate(known) if i % 5] if several else known
+        if len({r.y for r in start}) < 2:
+            start = self.held = known
+        #: The rows that each view learns from.
+        self.own = {"text": list(start), "meta": list(start)}
+        self.weights: dict[str, np.ndarray | None] = {"text": None, "meta": None}
+        self.bare: dict[str, np.ndarray | None] = {"text": None, "meta": None}  # without the gain
+        self.ready = len({r.y for r in start}) > 1
+
+    def learn(self, steps: int) -> None:
+        for at, name in enumerate(("text", "meta")):
+            rows = self.own[name]
+            x, y = sparse_of(rows, self.mean, self.scale)[at], np.array([r.y for r in rows])
+            gain = contrast(x, y) if name == "text" else np.ones(x.width + 1)
+            self.bare[name] = fit(x, y, self.bare[name], steps, gain=gain)
+            self.weights[name] = gain * self.bare[name]
+
+    def sure(self, text: Sparse, meta: Sparse) -> dict[str, np.ndarray]:
+        """Each view's scores of unlabelled rows."""
+        return {"text": _sigmoid(text.logits(self.weights["text"])), "meta": _sigmoid(meta.logits(self.weights["meta"]))}
+
+    def teach(self, name: str, rows: list[Row]) -> None:
+        """Pseudo-labels of view ``name`` for the other."""
+        self.own["meta" if name == "text" else "text"] += rows
+
+    def view(self) -> View:
+        """Both views' weights and their joint calibration on the labels held out."""
+        text, meta = sparse_of(self.held, self.mean, self.scale)
+        z = np.stack([text.logits(self.weights["text"]), meta.logits(self.weights["meta"])], 1)
+        scale = np.maximum(1.0, np.abs(z).max(0))
+        mix = fit(Sparse.of(z / scale, [[]] * len(self.held), 0), np.array([r.y for r in self.held]), np.array([*scale, 0.0]), 600, 1e-6)
+        return View(self.weights["text"], self.weights["meta"], np.array([mix[0] / scale[0], mix[1] / scale[1], mix[2]]))
 
 
 @dataclass
 class Model:
-    words: dict[str, int]
     mean: np.ndarray
     scale: np.ndarray
     quality: View | None
     toxic: View | None
 
-    def scores(self, text: str | None, lang: str | None, source: str | None, n_chars: float | None) -> tuple[float, float]:
-        text = text or ""
-        x = (np.array(shape(text)) - self.mean) / self.scale
-        on = SHAPES + np.array([self.words[w] for w in word_set(text) if w in self.words], np.int64)
-        meta = metadata(lang, source, n_chars)
 
-        def score(v: View | None, default: float) -> float:
-            if v is None:
-                return default
-            a = float(x @ v.text[:SHAPES] + v.text[on].sum() + v.text[-1])
-            b = float(v.meta[meta].sum() + v.meta[-1])
-            return float(_sigmoid(v.mix[0] * a + v.mix[1] * b + v.mix[2]))
+_FEATURES = "shape array<float>, words array<int>, meta array<int>"
+
+
+def features(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """uid, the features, and __c0, __c1, ... of the columns ``carry``; written, so that each row keeps its uid."""
+    small_batches(docs.sparkSession)
+    names = [f"__c{i}" for i in range(len(carry))]
+    n_chars = F.col("n_chars").cast("double")
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)],
+        F.col("doc_id").cast("long").alias("id"),
+        F.coalesce("text", F.lit("")).alias("__text"),
+        F.col("lang").cast("string").alias("__lang"),
+        F.col("source").cast("string").alias("__source"),
+        n_chars.alias("__n"),
+        F.monotonically_increasing_id().alias("uid"),
+    )
+    kept = [f for f in rows.schema.fields if f.name in (*names, "id", "uid")]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for b in pieces_of(batches):
+            texts, langs, sources, sizes = (b.column(c).to_pylist() for c in ("__text", "__lang", "__source", "__n"))
+            found = [
+                pa.array([shape(t) for t in texts], pa.list_(pa.float32())),
+                pa.array([buckets.of(t) for t in texts], pa.list_(pa.int32())),
+                pa.array([metadata(*x) for x in zip(langs, sources, sizes)], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *found], names=[*[f.name for f in kept], "shape", "words", "meta"])
+
+    return written(rows.mapInArrow(measure, f"{kind}, {_FEATURES}"), "quality-features")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row numbers of a column of lists."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), sizes)
 
-        return score(self.quality, 1.0), score(self.toxic, 0.0)
+
+def _views(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> tuple[Sparse, Sparse]:
+    n = batch.num_rows
+    shapes = (_lists(batch.column("shape"))[0].reshape(n, SHAPES) - mean) / scale
+    (words, in_row), (meta, of_row) = _lists(batch.column("words")), _lists(batch.column("meta"))
+    return Sparse(shapes, words.astype(np.int64), in_row, BUCKETS), Sparse(np.zeros((n, 0)), meta.astype(np.int64), of_row, META)
+
+
+def _row(r, y: float) -> Row:
+    return Row(np.array(r["shape"], float), np.array(r["words"], np.int64), np.array(r["meta"], np.int64), y)
+
+
+def _surest(pool: DataFrame, trainers: dict[str, CoTraining], most: int, sure: float, taken: set[int]) -> DataFrame:
+    """(list, p, uid, features): of each task the unlabelled rows that a view is surest of, for each target, view and class.
+
+    list: target / view / class, as text.
+    """
+    sent = pool.sparkSession.sparkContext.broadcast((trainers, np.array(sorted(taken), np.int64)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, gone = sent.value
+        for b in batches:
+            free = ~np.isin(b.column("uid").to_numpy(), gone)
+            for target, trainer in own.items():
+                for view, p in trainer.sure(*_views(b, trainer.mean, trainer.scale)).items():
+                    for side, score in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero((score >= sure) & free)
+                        at = at[np.argsort(-score[at], kind="stable")[:most]]
+                        if len(at):
+                            part = b.take(pa.array(at))
+                            names = [f"{target}/{view}/{side}"] * len(at)
+                            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(score[at]), *part.columns], names=["list", "p", *part.schema.names])
+
+    return pool.select("uid", "shape", "words", "meta").mapInArrow(search, f"list string, p double, uid long, {_FEATURES}")
 
 
 def train(
-    docs: DataFrame,
+    found: DataFrame,
     labels: DataFrame,
-    max_labelled: int = 6000,
-    max_pool: int = 3000,
-    max_words: int = 20_000,
+    max_labelled: int = MAX_LABELLED,
+    most: int = MOST,
+    sure: float = SURE,
     rounds: int = 3,
 ) -> Model:
-    """The co-trained model. ``docs``: doc_id, text, lang, source, n_chars; ``labels``: doc_id, quality, toxic.
+    """The co-trained model. ``found``: the written features; ``labels``: doc_id, quality, toxic.
 
-    Labels of repeated ids count once (the greater); null labels count as unlabelled.
+    Labels of repeated ids count once (the greater); null labels count as
+    unlabelled, labels without an id or a document do not count. Of documents that
+    repeat an id one is learnt from.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
-    each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+    each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
         F.max(F.col("quality").cast("double")).alias("quality"), F.max(F.col("toxic").cast("double")).alias("toxic")
     )
-    # Limits make both sides small whatever the input: the broadcast is bounded by the parameters.
-    near = F.xxhash64("doc_id", F.lit(9))
-    chosen = each.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(near, "doc_id").limit(max_labelled)
-    pool = docs.select("doc_id").distinct().orderBy(near, "doc_id").limit(max_pool)
-    rows = chosen.join(pool.withColumn("pool", F.lit(1)), "doc_id", "full").drop("pool")
-    sample = written(docs.join(F.broadcast(written(rows, "quality-ids")), "doc_id").dropDuplicates(["doc_id"]), "quality-sample")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(word_set(t or "")) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["words"])
-
-    counted = sample.select("text").mapInArrow(words, "words array<string>").select(F.explode("words").alias("word")).groupBy("word").count()
-    listed = counted.where("count >= 5").orderBy(F.desc("count"), "word").limit(max_words).collect()
-    vocabulary = {r["word"]: i for i, r in enumerate(listed)}
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "shape": [shape(t) for t in texts],
-                    "words": [sorted(vocabulary[w] for w in word_set(t) if w in vocabulary) for t in texts],
-                    "meta": [metadata(a, s, None if pd.isna(n) else n) for a, s, n in zip(b["lang"], b["source"], b["n_chars"])],
-                    "quality": b["quality"],
-                    "toxic": b["toxic"],
-                }
-            )
-
-    kind = "doc_id long, shape array<double>, words array<int>, meta array<int>, quality double, toxic double"
-    got = sample.mapInPandas(features, kind).orderBy("doc_id").collect()
-    raw = np.array([r["shape"] for r in got], float).reshape(-1, SHAPES)
+    each = written(each.where("quality is not null or toxic is not null"), "quality-labels")
+    near = F.xxhash64("id", F.lit(9))
+    chosen = each.join(found.select("id"), "id", "left_semi").orderBy(near, "id").limit(max_labelled)
+    chosen = written(chosen, "quality-chosen")  # the broadcast is bounded by max_labelled rows
+    fitted = found.select("id", "uid", "shape", "words", "meta").join(F.broadcast(chosen), "id").orderBy("id", "uid").collect()
+    fitted = list({r["id"]: r for r in reversed(fitted)}.values())[::-1]
+    raw = np.array([r["shape"] for r in fitted], float).reshape(-1, SHAPES)
     mean = raw.mean(0) if len(raw) else np.zeros(SHAPES)
     scale = np.maximum(raw.std(0), 1e-3) if len(raw) else np.ones(SHAPES)
-    text = Sparse.of((raw - mean) / scale, [r["words"] for r in got], len(vocabulary))
-    meta = Sparse.of(np.zeros((len(got), 0)), [r["meta"] for r in got], META)
-    target = lambda k: np.array([np.nan if r[k] is None else r[k] for r in got], float)
-    return Model(vocabulary, mean, scale, co_train(text, meta, target("quality"), rounds), co_train(text, meta, target("toxic"), rounds))
-
-
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
-    """All rows and columns of ``docs`` with quality_score, toxic_score and ``keep`` (in place of such columns).
-
-    Null text counts as empty, null metadata as a value of its own. Without
-    labels of both kinds the quality is 1 and the toxicity 0, so all rows stay.
-    Repeated rows are scored each; an empty table gives no rows.
+    trainers = {}
+    for target in ("quality", "toxic"):
+        trainer = CoTraining([_row(r, float(r[target])) for r in fitted if r[target] is not None], mean, scale)
+        if trainer.ready:
+            trainer.learn(200)
+            trainers[target] = trainer
+    if trainers:
+        pool = written(found.select("id", "uid", "shape", "words", "meta").join(each.select("id"), "id", "left_anti"), "quality-pool")
+        taken: set[int] = set()
+        for _ in range(rounds):
+            surest = written(_surest(pool, trainers, most, sure, taken), "quality-surest")
+            for target, trainer in trainers.items():
+                for view in ("text", "meta"):
+                    for side in (1, 0):
+                        mine = surest.where(F.col("list") == f"{target}/{view}/{side}").orderBy(F.desc("p"), F.xxhash64("uid"), "uid").limit(most)
+                        got = mine.collect()  # at most ``most`` rows
+                        trainer.teach(view, [_row(r, float(side)) for r in got])
+                        taken |= {r["uid"] for r in got}
+                trainer.learn(40)
+    views = {t: trainers[t].view() if t in trainers else None for t in ("quality", "toxic")}
+    return Model(mean, scale, views["quality"], views["toxic"])
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry: list[str] | None = None, **bounds) -> DataFrame:
+    """All rows of ``docs`` (doc_id, text, lang, source, n_chars; columns ``carry``, all by default) with quality_score, toxic_score and ``keep``.
+
+    Columns of these three names are replaced. Null text counts as empty, null
+    metadata as a value of its own; very long texts are read whole. Without labels
+    of both kinds the quality is 1 and the toxicity 0, so all rows stay. Repeated
+    rows are scored each, rows without an id too; an empty table gives no rows.
     """
-    docs = docs.drop("quality_score", "toxic_score", "keep")
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
-
-    @F.pandas_udf("quality_score double, toxic_score double")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("quality_score", "toxic_score", "keep")]
+    found = features(docs, carry)
+    model = docs.sparkSession.sparkContext.broadcast(train(found, labels, **bounds))
+    names = [f"__c{i}" for i in range(len(carry))]
+    kept = [f for f in found.schema.fields if f.name in names]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        rows = [own.scores(t, a, s, None if pd.isna(n) else float(n)) for t, a, s, n in zip(text, lang, source, n_chars)]
-        return pd.DataFrame(rows, columns=["quality_score", "toxic_score"])
+        for b in batches:
+            text, meta = _views(b, own.mean, own.scale)
+            scores = [pa.array(np.full(b.num_rows, default) if v is None else v.scores(text, meta)) for v, default in ((own.quality, 1.0), (own.toxic, 0.0))]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *scores], names=[*names, "quality_score", "toxic_score"])
 
-    scored = docs.withColumn("__score", score.asNondeterministic()("text", "lang", "source", "n_chars"))
-    scored = scored.select(*docs.columns, "__score.quality_score", "__score.toxic_score")
+    scored = found.select(*names, "shape", "words", "meta").mapInArrow(score, f"{kind}, quality_score double, toxic_score double")
+    scored = scored.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "quality_score", "toxic_score")
     return scored.withColumn("keep", (F.col("quality_score") >= threshold) & (F.col("toxic_score") < threshold))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Scores of ``documents`` by a model trained on ``labels``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels).select("doc_id", "quality_score", "toxic_score", "keep")
+    return classify(docs, labels, carry=["doc_id"])

@@ -1,6 +1,7 @@
 """Near copies, mixing, the classifier and the pipeline against brute force, and odd input."""
 
 import math
+import struct
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -208,48 +209,124 @@ def test_near_copies_odd(odd, nothing, null_id):
 
 def test_raking_meets_all_margins():
     rng = np.random.default_rng(4)
-    cells = pd.DataFrame([(s, l, t, int(rng.integers(1, 1000))) for s in "abc" for l in "de" for t in "01"], columns=["source", "lang", "topic", "tokens"])
+    cells = pd.DataFrame([(s, l, t, int(rng.integers(500, 1000))) for s in "abc" for l in "de" for t in "01"], columns=["source", "lang", "topic", "tokens"])
     goals = {"source": pd.Series({"a": 0.2, "b": 0.3, "c": 0.5}), "lang": pd.Series({"d": 0.6, "e": 0.4}), "topic": pd.Series({"0": 0.5, "1": 0.5})}
-    cells["w"] = mixing.rake(cells, goals)
-    for m, goal in goals.items():
-        assert np.allclose(cells.groupby(m)["w"].sum(), goal, atol=1e-5)
+    for keep in (0.01, 0.5):
+        most = cells["tokens"].to_numpy(float) / (keep * cells["tokens"].sum())
+        cells["w"], gap = mixing.rake(cells, goals, most)
+        assert gap < 1e-5 and (cells["w"] <= most).all()
+        for m, goal in goals.items():
+            assert np.allclose(cells.groupby(m)["w"].sum(), goal, atol=1e-5)
+    assert mixing.rake(cells, goals, most / 10)[1] > 0.1  # too little to meet them is told
 
 
 @pytest.mark.parametrize("keep", [0.1, 0.5, 0.9, 1.0])
-def test_scale_keeps_the_asked_share(keep):
-    rates = [(0.5, 10.0), (0.1, 100.0), (2.0, 5.0), (0.0, 7.0), (1.0, 0.0)]
-    c = mixing._scale(rates, keep)
-    kept = sum(min(1.0, c * r) * t if r else 0 for r, t in rates)
-    assert kept == pytest.approx(keep * 115)
-
-
-@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
-def test_mixing(docs, driver_cells):
-    got = pd.DataFrame(rows(mixing.mix(docs, targets={"lang": {"en": 0.5, "de": 0.25, "fr": 0.25}}, driver_cells=driver_cells)))
-    assert len(got) == docs.count() and got["probability"].between(0, 1).all()
-    assert not got.loc[got["lang"] == "es", "sampled"].any()
-    assert got.loc[got["probability"] >= 1, "sampled"].all()
-    cells = got.drop_duplicates(["source", "lang", "topic"])
-    shares = cells.groupby("lang")["weight"].sum()
-    assert np.allclose([shares["en"], shares["de"], shares["fr"]], [0.5, 0.25, 0.25], atol=2e-3)
-    usable = got[got["lang"] != "es"]
-    assert (usable["probability"] * usable["n_tokens"]).sum() == pytest.approx(0.5 * usable["n_tokens"].sum(), rel=0.02)
+def test_targets_stay_within_what_there_is(keep):
+    tokens = pd.Series({"a": 900, "b": 90, "c": 10, "d": 0})
+    goal = mixing._targets(tokens, None, 0.5, keep * 1000)
+    assert goal.sum() == pytest.approx(1) and (goal <= tokens / (keep * 1000) + 1e-12).all() and goal["d"] == 0
+    if keep == 1.0:
+        assert np.allclose(goal, tokens / 1000)
+    goal = mixing._targets(tokens, {"a": 0.25, "b": 0.75}, 0.5, keep * 990)  # of the 990 tokens that may be drawn
+    assert goal.sum() == pytest.approx(1) and goal["b"] == pytest.approx(min(0.75, 90 / (keep * 990)))
+
+
+def brute_mix(got, targets, keep, temper, seed):
+    """Probability and draw of each row by plain loops from the rows' source, language, topic and tokens."""
+    margins = ("source", "lang", "topic")
+    cells = Counter()
+    for r in got:
+        cells[tuple(r[m] for m in margins)] += r["n_tokens"]
+    usable = {c: t for c, t in cells.items() if t and all(m not in targets or targets[m].get(c[i], 0) > 0 for i, m in enumerate(margins))}
+    room = keep * sum(usable.values())
+    goals = {}
+    for i, m in enumerate(margins):
+        held = Counter()
+        for c, t in usable.items():
+            held[c[i]] += t
+        base = {k: targets[m].get(k, 0) if m in targets else t**temper for k, t in held.items()}
+        full = set()
+        while True:
+            left, free = 1 - sum(held[k] / room for k in full), sum(b for k, b in base.items() if k not in full)
+            goals[m] = {k: held[k] / room if k in full else base[k] / free * left for k in held}
+            new = {k for k in held if goals[m][k] > held[k] / room + 1e-15 and k not in full}
+            if not new or len(full | new) == len(held):
+                break
+            full |= new
+    w = {c: t / sum(usable.values()) for c, t in usable.items()}
+    for _ in range(300):
+        gap = 0.0
+        for i, m in enumerate(margins):
+            now = Counter()
+            for c, v in w.items():
+                now[c[i]] += v
+            gap = max([gap, *(abs(now[k] - g) for k, g in goals[m].items())])
+            w = {c: min(usable[c] / room, v * goals[m][c[i]] / now[c[i]]) for c, v in w.items()}
+        if gap < 1e-6:
+            break
+    out = []
+    for r in got:
+        c = tuple(r[m] for m in margins)
+        p = 1.0 if not cells[c] else min(1.0, w[c] * room / usable[c]) if c in usable else 0.0
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", r["doc_id"]), 42))
+        out.append((r["doc_id"], p, (h >> 11) / 2**53 < p))
+    return out
+
+
+@pytest.mark.parametrize("targets,keep", [({}, 0.5), ({}, 0.9), ({"lang": {"en": 0.5, "de": 0.25, "fr": 0.25}}, 0.3)])
+def test_mixing_by_brute_force(docs, targets, keep):
+    got = rows(mixing.mix(docs, targets=targets, keep=keep))
+    assert len(got) == docs.count()
+    assert all(r["n_tokens"] == len(t.split()) for r, t in zip(sorted(got, key=lambda r: r["doc_id"]), (r[0] for r in docs.orderBy("doc_id").select("text").collect())))
+    for r, (i, p, drawn) in zip(got, brute_mix(got, targets, keep, 0.5, 6)):
+        assert r["doc_id"] == i and r["probability"] == pytest.approx(p, abs=1e-7) and (r["sampled"] == drawn or abs(r["probability"] - p) > 0)
+
+
+def test_expected_sample_has_the_target_shares(spark, docs):
+    """Also where some documents are certain."""
+    got = pd.DataFrame(rows(mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep=0.8)))
+    expected = got["probability"] * got["n_tokens"]
+    assert expected.sum() == pytest.approx(0.8 * got["n_tokens"].sum(), rel=1e-3) and (got["probability"] >= 1).any()
+    for m in ("source", "lang", "topic"):
+        goal = mixing._targets(got.fillna({"topic": "none"}).groupby(m)["n_tokens"].sum(), None, 0.5, 0.8 * got["n_tokens"].sum())
+        assert np.allclose((expected / expected.sum()).groupby(got[m].fillna("none")).sum().reindex(goal.index), goal, atol=2e-3)
+
+
+def test_mixing_of_many_cells_is_the_same(docs):
+    """Beyond ``driver_cells`` the same steps run as aggregations."""
+    few, many = (rows(mixing.mix(docs, keep=0.8, rounds=6, driver_cells=n)) for n in (mixing.DRIVER_CELLS, 0))
+    by = {r["doc_id"]: r for r in many}
+    assert len(few) == len(by) and all(by[r["doc_id"]]["probability"] == pytest.approx(r["probability"], rel=1e-9) for r in few)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, keep=0.8, rounds=1, strict=True)
 
 
 def test_mixing_odd(odd, nothing, null_id):
-    got = rows(mixing.mix(odd.select([c for c in odd.columns if c not in ("weight", "topic")] + ["weight", "topic"])))
+    got = rows(mixing.mix(odd))
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ODD)
     by = {r["doc_id"]: r for r in got}
-    assert by[1]["source"] is None and by[1]["lang"] is None and by[1]["n_tokens"] == 0
+    assert by[1]["source"] is None and by[1]["lang"] is None and by[1]["topic"] is None and by[1]["n_tokens"] == 0 and by[1]["sampled"]
     assert len({(r["sampled"], r["probability"]) for r in got if r["doc_id"] == 4}) == 1
     assert mixing.mix(nothing).count() == 0
     assert mixing.mix(nothing, driver_cells=-1).count() == 0
     assert mixing.mix(null_id, keep=1.0).where("sampled").count() == 2
+    kept = mixing.sample(odd.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))), keep=1.0)
+    assert kept.columns == odd.columns and kept.count() == 2 * len(ODD)
 
 
-def test_topics_do_not_depend_on_order():
-    words = "some longer words stand here again and again".split()
-    assert mixing.Topics().of(words) == mixing.Topics().of(words[::-1]) and mixing.Topics().of([]) == 0
+def test_topics_group_texts_of_a_kind(spark):
+    """Texts on two subjects with their own words, beside words that all have, fall into clusters of one subject."""
+    rng = np.random.default_rng(1)
+    common, own = [f"the{n}" for n in range(20)], [[f"{k}{n}" for n in range(40)] for k in ("star", "fish")]
+    texts = [" ".join([*rng.choice(common, 30), *rng.choice(own[n % 2], 30)]) for n in range(300)]
+    table = spark.createDataFrame([(n, t, "en", "a") for n, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = rows(mixing.mix(table, topics=4))
+    kinds = defaultdict(Counter)
+    for r in got:
+        kinds[r["topic"]][r["doc_id"] % 2] += 1
+    assert len(kinds) > 1 and sum(max(c.values()) for c in kinds.values()) >= 0.97 * len(got)
+    terms = mixing.Terms()
+    assert terms.of(["Fish,", "fish"]) == terms.of(["fish"]) * 2 and terms.of(["--"]) == [0]
 
 
 # --- quality ---
@@ -276,14 +353,55 @@ def test_views_teach_each_other():
     """With few labels, pseudo-labels from a view that knows better lift the other."""
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 600)
-    text = quality.Sparse.of(np.zeros((600, 0)), [[int(v) * 5 + int(rng.integers(0, 5))] for v in y], 10)
-    meta = quality.Sparse.of(np.zeros((600, 0)), [[int(v)] for v in y], 2)
-    known = y.astype(float)
-    known[12:] = np.nan
-    view = quality.co_train(text, meta, known)
-    z = text.logits(view.text)
-    assert ((z > 0) == (y == 1)).mean() > 0.97
-    assert quality.co_train(text, meta, np.full(600, np.nan)) is None
+    rows_ = [quality.Row(np.zeros(0), np.array([int(v) * 5 + int(rng.integers(0, 5))]), np.array([int(v)]), float(v)) for v in y]
+    none = np.zeros(0)
+
+    def right(trainer):
+        text, _ = quality.sparse_of(rows_, none, none)
+        return ((text.logits(trainer.weights["text"]) > 0) == (y == 1)).mean()
+
+    trainer = quality.CoTraining(rows_[:6], none, none)
+    trainer.learn(200)
+    alone = right(trainer)
+    for _ in range(3):
+        p = trainer.sure(*quality.sparse_of(rows_[6:], none, none))["meta"]
+        best = np.argsort(-np.abs(p - 0.5), kind="stable")[:200]
+        trainer.teach("meta", [quality.Row(r.shape, r.words, r.meta, float(p[i] > 0.5)) for i in best for r in [rows_[6 + i]]])
+        trainer.learn(40)
+    assert right(trainer) > 0.97 > alone
+    assert not quality.CoTraining([], none, none).ready
+
+
+def test_scores_by_brute_force(spark, docs, labels):
+    """Each row's scores, recomputed one by one from the text and the fitted weights."""
+    found = quality.features(docs, ["doc_id"])
+    model = quality.train(found, labels)
+    got = {r["doc_id"]: r for r in rows(quality.classify(docs, labels))}
+    buckets, sigmoid = quality.Buckets(), lambda z: 1 / (1 + math.exp(-max(-30, min(30, z))))
+    for r in docs.collect():
+        x = (np.array(quality.shape(r["text"] or ""), np.float32) - model.mean) / model.scale
+        words, meta = buckets.of(r["text"] or ""), quality.metadata(r["lang"], r["source"], r["n_chars"])
+        for view, score in ((model.quality, "quality_score"), (model.toxic, "toxic_score")):
+            a = sum(v * w for v, w in zip(x, view.text)) + sum(view.text[quality.SHAPES + w] for w in words) + view.text[-1]
+            b = sum(view.meta[m] for m in meta) + view.meta[-1]
+            assert got[r["doc_id"]][score] == pytest.approx(sigmoid(view.mix[0] * a + view.mix[1] * b + view.mix[2]), abs=1e-6)
+
+
+def test_the_surest_of_all_unlabelled_are_found(spark, docs, labels):
+    """The distributed search gives what sorting all scores gives."""
+    found = quality.features(docs, ["doc_id"])
+    got = found.orderBy("uid").collect()
+    each = {r["doc_id"]: r for r in labels.collect()}
+    known = [quality._row(r, float(each[r["id"]]["quality"])) for r in got if r["id"] in each]
+    trainer = quality.CoTraining(known, np.zeros(quality.SHAPES), np.ones(quality.SHAPES))
+    trainer.learn(30)
+    pool = [r for r in got if r["id"] not in each]
+    table = found.where(~F.col("id").isin(list(each)))
+    surest = quality._surest(table, {"quality": trainer}, 5, 0.6, {pool[0]["uid"]})
+    for view, p in trainer.sure(*quality.sparse_of([quality._row(r, math.nan) for r in pool], trainer.mean, trainer.scale)).items():
+        want = sorted((float(s) for s, r in zip(p, pool) if s >= 0.6 and r["uid"] != pool[0]["uid"]), reverse=True)[:5]
+        mine = [r["p"] for r in surest.where(F.col("list") == f"quality/{view}/1").orderBy(F.desc("p")).limit(5).collect()]
+        assert mine == pytest.approx(want, abs=1e-5)
 
 
 def test_shape():
