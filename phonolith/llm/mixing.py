@@ -6,10 +6,12 @@ than it holds: in each step a weight is cut at what makes its documents certain,
 and the next steps make up for it, so that the sample itself has the target
 shares. A document is drawn when its hash lies below its cell's probability.
 
-Targets default to the tempered shares of the input (the share to the power
-``temper``, then made to sum to 1), which lifts small groups and lowers large
-ones. A target above what its group holds is cut to that, and the others of the
-margin share the rest. ``Fit.gap`` is how far the shares are from the targets at
+Targets default to the sums, over each source, language and topic, of the cells'
+tempered shares (the share to the power ``temper``, then made to sum to 1), which
+lifts small groups and lowers large ones. Margins that come from one table fit
+each other, also where a topic occurs in one language only. A target, of a cell
+here or of a value that the caller names, above what there is is cut to that, and
+the others share the rest. ``Fit.gap`` is how far the shares are from the targets at
 the end; beyond ``close`` there is a warning, or an error if ``strict``.
 
 Topics are clusters of the documents' TF-IDF vectors: words are hashed to
@@ -45,7 +47,7 @@ from .shared import small_batches, written
 DRIVER_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
 TERMS, DIMS, TOPICS, TOPIC_ROUNDS = 1 << 15, 64, 8, 5
-ROUNDS, CLOSE = 300, 1e-6
+ROUNDS, CLOSE = 1000, 1e-6
 _NONE = "\0none"
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_`"
 
@@ -60,7 +62,7 @@ class Terms:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             bare = w.strip(_MARKS).lower()
             known[w] = 1 + xxhash.xxh32_intdigest(bare.encode("utf-8", "replace")) % (TERMS - 1) if bare else 0
         return list(map(known.__getitem__, words))
@@ -186,7 +188,7 @@ def facts(docs: DataFrame, id_col: str, text_col: str, seed: int, tokens_col: st
 
 
 def _targets(tokens: pd.Series, given: dict | None, temper: float, room: float) -> pd.Series:
-    """Target share of each value of a margin: the given ones, else tempered; none above its tokens over ``room``."""
+    """Target share of each value of a margin (or each cell): the given ones, else tempered; none above its tokens over ``room``."""
     base = tokens.astype(float).where(tokens > 0, 0.0).pow(temper).where(tokens > 0, 0.0)
     if given is not None:
         base = pd.Series({k: float(given.get(None if k == _NONE else k, 0.0)) for k in tokens.index}, dtype=float).where(tokens > 0, 0.0)
@@ -267,24 +269,28 @@ def fit(cells: DataFrame, targets: dict[str, dict], keep: float, temper: float,
     # A margin's values come to the driver where they are as few as cells may be; else the tempered targets stay a table.
     if n <= driver_cells:
         local = cells.toPandas()
-        goals = {m: _targets(local.groupby(m)["tokens"].sum(), targets.get(m), temper, room) for m in MARGINS}
+        own = _targets(local["tokens"], None, temper, room)
+        goals = {m: own.groupby(local[m]).sum() if targets.get(m) is None else _targets(local.groupby(m)["tokens"].sum(), targets[m], temper, room) for m in MARGINS}
         local["w"], gap = rake(local, goals, local["tokens"].to_numpy(float) / (room or 1), rounds, close) if len(local) else ([], 0.0)
         return Fit(spark.createDataFrame(local, "source string, lang string, topic string, tokens long, w double"), gap)
+    t = F.col("tokens").cast("double")
+    tempered = cells.select(*MARGINS, t.alias("t"), F.when(t > 0, F.pow(t, F.lit(temper))).otherwise(0.0).alias("base"))
+    own = written(_cut_targets(tempered, [*MARGINS], room), "mixing-own")
     frames = {}
     for m in MARGINS:
-        sums = written(cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")), "mixing-margin")
-        base = F.when(F.col("t") > 0, F.pow("t", F.lit(temper))).otherwise(0.0)
+        goal = own.groupBy(m).agg(F.sum("goal").alias("goal"))
         if targets.get(m) is not None:
             given = spark.createDataFrame([(_NONE if k is None else k, float(v)) for k, v in targets[m].items()], f"{m} string, given double")
-            sums = sums.join(given, m, "left")
+            sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t")).join(given, m, "left")
             base = F.when(F.col("t") > 0, F.coalesce("given", F.lit(0.0))).otherwise(0.0)
-        frames[m] = written(_cut_targets(sums.select(m, "t", base.alias("base")), m, room), "mixing-goals")
+            goal = _cut_targets(sums.select(m, "t", base.alias("base")), [m], room)
+        frames[m] = written(goal, "mixing-goals")
     found, gap = _rake_distributed(cells, frames, room, rounds, close)
     return Fit(found, gap)
 
 
-def _cut_targets(sums: DataFrame, margin: str, room: float) -> DataFrame:
-    """``_targets`` for any number of values: (margin, goal)."""
+def _cut_targets(sums: DataFrame, keys: list[str], room: float) -> DataFrame:
+    """``_targets`` for any number of values: (keys, goal)."""
     most = F.col("t") / F.lit(float(room or 1))
     now = sums.withColumn("over", F.lit(False))
     while True:
@@ -294,8 +300,8 @@ def _cut_targets(sums: DataFrame, margin: str, room: float) -> DataFrame:
         new = written(now.withColumn("goal", goal).withColumn("next", F.col("over") | (F.col("goal") > most)), "mixing-over")
         grown, all_over = new.agg(F.max(F.col("next") & ~F.col("over")), F.min("next")).first()
         if not grown or all_over:
-            return new.select(margin, "goal")
-        now = new.select(margin, "t", "base", F.col("next").alias("over"))
+            return new.select(*keys, "goal")
+        now = new.select(*keys, "t", "base", F.col("next").alias("over"))
 
 
 def mix_rows(

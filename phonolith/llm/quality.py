@@ -83,7 +83,7 @@ class Buckets:
         words, known = set(_WORDS.findall(text.lower())), self.known
         if len(known) > self.most:
             known.clear()
-        for w in words - known.keys():
+        for w in [w for w in words if w not in known]:
             known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) % BUCKETS
         return sorted(set(map(known.__getitem__, words)))
 

@@ -239,22 +239,27 @@ def brute_mix(got, targets, keep, temper, seed):
         cells[tuple(r[m] for m in margins)] += r["n_tokens"]
     usable = {c: t for c, t in cells.items() if t and all(m not in targets or targets[m].get(c[i], 0) > 0 for i, m in enumerate(margins))}
     room = keep * sum(usable.values())
-    goals = {}
-    for i, m in enumerate(margins):
-        held = Counter()
-        for c, t in usable.items():
-            held[c[i]] += t
-        base = {k: targets[m].get(k, 0) if m in targets else t**temper for k, t in held.items()}
+
+    def cut(held, base):
         full = set()
         while True:
             left, free = 1 - sum(held[k] / room for k in full), sum(b for k, b in base.items() if k not in full)
-            goals[m] = {k: held[k] / room if k in full else base[k] / free * left for k in held}
-            new = {k for k in held if goals[m][k] > held[k] / room + 1e-15 and k not in full}
+            goal = {k: held[k] / room if k in full else base[k] / free * left for k in held}
+            new = {k for k in held if goal[k] > held[k] / room + 1e-15 and k not in full}
             if not new or len(full | new) == len(held):
-                break
+                return goal
             full |= new
+
+    tempered, goals = cut(usable, {c: t**temper for c, t in usable.items()}), {}
+    for i, m in enumerate(margins):
+        held, goals[m] = Counter(), Counter()
+        for c, t in usable.items():
+            held[c[i]] += t
+            goals[m][c[i]] += tempered[c]
+        if m in targets:
+            goals[m] = cut(held, {k: targets[m].get(k, 0) for k in held})
     w = {c: t / sum(usable.values()) for c, t in usable.items()}
-    for _ in range(300):
+    for _ in range(1000):
         gap = 0.0
         for i, m in enumerate(margins):
             now = Counter()
@@ -287,9 +292,11 @@ def test_expected_sample_has_the_target_shares(spark, docs):
     got = pd.DataFrame(rows(mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep=0.8)))
     expected = got["probability"] * got["n_tokens"]
     assert expected.sum() == pytest.approx(0.8 * got["n_tokens"].sum(), rel=1e-3) and (got["probability"] >= 1).any()
+    cells = got.groupby(["source", "lang", "topic"], dropna=False)["n_tokens"].sum().reset_index()
+    cells["goal"] = mixing._targets(cells["n_tokens"], None, 0.5, 0.8 * got["n_tokens"].sum())
     for m in ("source", "lang", "topic"):
-        goal = mixing._targets(got.fillna({"topic": "none"}).groupby(m)["n_tokens"].sum(), None, 0.5, 0.8 * got["n_tokens"].sum())
-        assert np.allclose((expected / expected.sum()).groupby(got[m].fillna("none")).sum().reindex(goal.index), goal, atol=2e-3)
+        goal = cells.groupby(m)["goal"].sum()
+        assert np.allclose((expected / expected.sum()).groupby(got[m]).sum().reindex(goal.index), goal, atol=1e-4)
 
 
 def test_mixing_of_many_cells_is_the_same(docs):
