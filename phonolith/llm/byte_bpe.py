@@ -12,10 +12,8 @@ from __future__ import annotations
 import re
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 import regex
 
 from .token_counts import byte_units
@@ -146,10 +144,3 @@ def _bytes(ids: list[int]) -> bytes:
 @lru_cache(maxsize=1)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
-
-
-def pieces_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that few texts are Python strings at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)

@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import pieces_of
-from .shared import small_batches, written
+from .shared import pieces_of, small_batches, written
 
 #: Pages a host needs before its statistics count, and the importance below which a node goes.
 PAGES, IMPORTANCE = 8, 0.3

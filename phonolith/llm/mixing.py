@@ -41,8 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import pieces_of
-from .shared import small_batches, written
+from .shared import pieces_of, small_batches, written
 
 DRIVER_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
@@ -62,10 +61,14 @@ class Terms:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in [w for w in set(words) if w not in known]:
-            bare = w.strip(_MARKS).lower()
-            known[w] = 1 + xxhash.xxh32_intdigest(bare.encode("utf-8", "replace")) % (TERMS - 1) if bare else 0
-        return list(map(known.__getitem__, words))
+        out = list(map(known.get, words))
+        if None in out:
+            for i, n in enumerate(out):
+                if n is None:
+                    w = words[i]
+                    bare = w.strip(_MARKS).lower()
+                    out[i] = known[w] = 1 + xxhash.xxh32_intdigest(bare.encode("utf-8", "replace")) % (TERMS - 1) if bare else 0
+        return out
 
 
 def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:

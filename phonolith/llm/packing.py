@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_bpe, pieces_of
-from .shared import small_batches, written
+from .byte_bpe import byte_bpe
+from .shared import pieces_of, small_batches, written
 
 PER_TASK = 50_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"

@@ -32,8 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import pieces_of
-from .shared import small_batches, written
+from .shared import pieces_of, small_batches, written
 
 _WORDS = re.compile(r"[^\W\d_]+")
 META, BUCKETS = 64, 1 << 16
@@ -83,9 +82,14 @@ class Buckets:
         words, known = set(_WORDS.findall(text.lower())), self.known
         if len(known) > self.most:
             known.clear()
-        for w in [w for w in words if w not in known]:
-            known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) % BUCKETS
-        return sorted(set(map(known.__getitem__, words)))
+        found = set(map(known.get, words))
+        if None in found:
+            found.remove(None)
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) % BUCKETS
+                    found.add(known[w])
+        return sorted(found)
 
 
 def metadata(lang: str | None, source: str | None, n_chars: float | None) -> list[int]:

@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_bpe, pieces_of
+from .byte_bpe import byte_bpe
 from .ranges import Ranges
-from .shared import new_folder, small_batches, written
+from .shared import new_folder, pieces_of, small_batches, written
 
 BLOCK, PERCENTILE, FILE_IDS = 8192, 98.0, 1 << 25
 #: Blocks that are gathered before they are packed.

@@ -99,26 +99,46 @@ def test_token_counts_equal_library(docs, odd, nothing, null_id):
     assert token_counts.token_counts(nothing, WORDS).count() == 0
 
 
-def test_chunk_maps_compose(monkeypatch):
-    """Any chunk length and any grouping give the same count."""
-    own = token_counts.TextCounter(WORDS)
-    text = "It's a Test,  of  chunks\nwith wörter don't 'll <|endoftext|> " * 5
-    want = own.count(text)
-    for n in (1, 2, 3, 7, 50):
+TEXTS = [
+    "It's a Test,  of  chunks\nwith wörter don't 'll <|endoftext|> " * 3,
+    "nowhitespaceatallinthisverylongrunofletters" * 6 + "1234'rex''ve''s!!'s'l'v'r'",
+    "中文字符" * 20 + "'re'" + "é" * 30 + " 'v e 'll 'l l",
+    "'", "'r", " ' ", "a'", "x" * 600 + "'t" + "y" * 600,
+    "aGVsbG8gd29ybGQ" * 40,
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_chunk_maps_compose(monkeypatch, text):
+    """Any chunk length, any number of states kept and any grouping give the library's count."""
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids)
+    own = token_counts.TextTransducer(WORDS)
+    assert own.count(text) == want
+    for n, kept in ((1, 256), (2, 0), (3, 5), (7, 256), (50, 1)):
         monkeypatch.setattr(token_counts, "CHUNK", n)
+        monkeypatch.setattr(token_counts, "TRACE", kept)
         assert own.count(text) == want
-    maps = [own.chunk_map(c) for c in ("ab", "c d", " ", "", "e", "f  g")]
-    left = maps[0]
-    for m in maps[1:]:
-        left = own.compose(left, m)
-    right = maps[-1]
-    for m in maps[-2::-1]:
-        right = own.compose(m, right)
-    assert left == right
+        piece = own.pieces(text)[0]
+        maps = [own.unpacked(own.packed(own.chunk_map(c))) for c in token_counts.chunks(piece)]
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = own.compose(left, m)
+        for m in maps[-2::-1]:
+            right = own.compose(m, right)
+        assert own.total([left]) == own.total([right]) == own.total(maps)
+
+
+def test_texts_counted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 40)
+    table = spark.createDataFrame([*enumerate(TEXTS), (None, TEXTS[0]), (3, TEXTS[1])], "doc_id long, text string")
+    by_one, by_many = (sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in rows(token_counts.token_counts(table, WORDS, long=n))) for n in (10**6, 30))
+    assert by_one == by_many and len(by_one) == len(TEXTS) + 2
 
 
 def test_transducer_equals_merging():
-    own = token_counts.TextCounter(WORDS).words
+    own = token_counts.TextTransducer(WORDS).words
     rng = np.random.default_rng(3)
     for _ in range(3000):
         word = "".join(rng.choice(list("aeinorstlhd"), rng.integers(1, 14)))
