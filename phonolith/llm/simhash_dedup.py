@@ -24,11 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import join_hot, pieces_of, small_batches, written
 
 HOT = 64
 _FULL = 0xFFFFFFFF
@@ -53,7 +53,7 @@ def simhash_fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches):
             fps = np.array([simhash(t, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -66,15 +66,18 @@ def _signed(mask: int) -> int:
 
 def link_fingerprints(fps: DataFrame, fp: str = "fp", hot: int = HOT) -> DataFrame:
     """(a, b), a < b: edges whose components are those of all pairs within 2 bits."""
-    distinct = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    # A given number of partitions, as each row becomes 66.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(tasks, "fp")
     seg = F.expr("shiftrightunsigned(fp, 32 * seg) & 4294967295")
     variants = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")).select("fp", "seg", seg.alias("s"))
     # wild -1: the segment as it is.
     variants = variants.select("fp", "seg", "s", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("wild"))
     masked = F.when(F.col("wild") < 0, F.col("s")).otherwise(F.expr("s & ~shiftleft(1L, wild)"))
     keyed = variants.select("fp", F.expr("shiftleft(seg * 33L + wild + 1, 32)").bitwiseOR(masked).alias("key"))
-    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    live = written(counted, "simhash-variants")
+    # Members are counted on the map side first; few keys have more than one.
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
+    live = written(keyed.join(shared, "key"), "simhash-variants")
     slot = F.shiftright("key", 32)  # seg * 33 + wild + 1
     live = live.withColumn("seg", F.floor(slot / 33).cast("int")).withColumn("wild", (slot % 33 - 1).cast("int"))
 
@@ -105,19 +108,20 @@ def near_dedup_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable by links of at most 2 bits.
 
     Null text counts as empty; texts without words have fingerprint zero and
-    link like any other. Repeated rows each give a row; a null id is never the
+    link like any other; very long texts are read whole. Repeated rows each give a row; a null id is never the
     smallest unless its component has no other. Other columns are ignored; an
     empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     fps = written(simhash_fingerprints(docs, words, id_col, text_col), "simhash")
     roots = connected_components(link_fingerprints(fps, hot=hot))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = written(
-        first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots"
+        first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
     ids = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = first.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(first.join(ids, "root").select("fp", "n", "component_id"), "simhash-named")
+    return join_hot(fps, named, ["fp"], "n", ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

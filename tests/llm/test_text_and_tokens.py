@@ -258,14 +258,23 @@ def test_style_tree_keeps_other_paragraphs_and_copies(spark):
     assert got[103] == "One text\n\nAnother" and got[201] == "Other 1"
 
 
-@pytest.mark.parametrize("outer", ["main", "article"])
-def test_style_tree_acts_inside_the_article(spark, outer):
+@pytest.mark.parametrize("outer,sent", [("main", 200_000), ("article", 200_000), ("article", 0)])
+def test_style_tree_acts_inside_the_article(spark, outer, sent):
     page = "<body><{0}><div class=x><p>Read our other pages</p></div><p>Own text {1}</p><p>More {1}</p></{0}></body>"
     table = spark.createDataFrame([(n, "http://h.example/", page.format(outer, n)) for n in range(12)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(table))}
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract(table, sent=sent))}
     assert [got[n] for n in range(12)] == [f"Own text {n}\n\nMore {n}" for n in range(12)]
 
 
+def test_contents_are_hashed_alike_by_any_route():
+    """Keys depend on path, children and runs of text, and are the same when computed again."""
+    one, other = (html_extract.parse(f"<div><p>a <b>b</b> c</p><p>{x}</p></div>") for x in ("d", "e"))
+    first, second = dict(html_extract.style_nodes(one)), dict(html_extract.style_nodes(other))
+    assert set(first) == set(second) and first == dict(html_extract.style_nodes(one))
+    keys = [sorted(k for p, k in html_extract.style_nodes(t) if p.endswith("/p.")) for t in (one, other)]
+    assert len(set(keys[0]) & set(keys[1])) == 1 and html_extract.main_text(one, frozenset(keys[0]) & frozenset(keys[1])) == "d"
+
+
 def test_pages_odd(spark):
     table = spark.createDataFrame(
         [(1, None, None, "x"), (None, "http://[bad", "<p>a", "x"), (2, "u", "<p>b</p>", None), (2, "u", "<p>b</p>", None), (3, "u", "<p>" + "w " * 200000, "")],
