@@ -3,7 +3,8 @@
 The text view sees shape statistics of the text and which words it has, hashed
 to ``BUCKETS`` and raised by how far apart their rates in the two classes are;
 the metadata view sees source, language and length. Features of
-whole texts are computed once for every document and written. Starting from the
+whole texts of every document are written for the training and go afterwards; the
+scoring reads the texts again. Starting from the
 labels, in each round each view scores all unlabelled documents and hands the
 ``most`` it is surest of, for each class, to the other as pseudo-labels. At the
 end the views' scores are calibrated together on labels held out of the
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces_of, small_batches, written
+from .shared import pieces_of, small_batches, working_tables, written
 
 _WORDS = re.compile(r"[^\W\d_]+")
 META, BUCKETS = 64, 1 << 16
@@ -235,35 +236,31 @@ class Model:
 _FEATURES = "shape array<float>, words array<int>, meta array<int>"
 
 
-def features(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """uid, the features, and __c0, __c1, ... of the columns ``carry``; written, so that each row keeps its uid."""
+def _inputs(docs: DataFrame) -> list:
+    return [F.coalesce("text", F.lit("")).alias("__text"), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"), F.col("n_chars").cast("double").alias("__n")]
+
+
+def _measured(b: pa.RecordBatch, buckets: Buckets) -> list[pa.Array]:
+    """shape, words and meta of each row."""
+    texts, langs, sources, sizes = (b.column(c).to_pylist() for c in ("__text", "__lang", "__source", "__n"))
+    return [
+        pa.array([shape(t) for t in texts], pa.list_(pa.float32())),
+        pa.array([buckets.of(t) for t in texts], pa.list_(pa.int32())),
+        pa.array([metadata(*x) for x in zip(langs, sources, sizes)], pa.list_(pa.int32())),
+    ]
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """id, uid and the features of each row; written, so that each row keeps its uid."""
     small_batches(docs.sparkSession)
-    names = [f"__c{i}" for i in range(len(carry))]
-    n_chars = F.col("n_chars").cast("double")
-    rows = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)],
-        F.col("doc_id").cast("long").alias("id"),
-        F.coalesce("text", F.lit("")).alias("__text"),
-        F.col("lang").cast("string").alias("__lang"),
-        F.col("source").cast("string").alias("__source"),
-        n_chars.alias("__n"),
-        F.monotonically_increasing_id().alias("uid"),
-    )
-    kept = [f for f in rows.schema.fields if f.name in (*names, "id", "uid")]
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), *_inputs(docs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for b in pieces_of(batches):
-            texts, langs, sources, sizes = (b.column(c).to_pylist() for c in ("__text", "__lang", "__source", "__n"))
-            found = [
-                pa.array([shape(t) for t in texts], pa.list_(pa.float32())),
-                pa.array([buckets.of(t) for t in texts], pa.list_(pa.int32())),
-                pa.array([metadata(*x) for x in zip(langs, sources, sizes)], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *found], names=[*[f.name for f in kept], "shape", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("uid"), *_measured(b, buckets)], names=["id", "uid", "shape", "words", "meta"])
 
-    return written(rows.mapInArrow(measure, f"{kind}, {_FEATURES}"), "quality-features")
+    return written(rows.mapInArrow(measure, f"id long, uid long, {_FEATURES}"), "quality-features")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -365,20 +362,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry:
     rows are scored each, rows without an id too; an empty table gives no rows.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("quality_score", "toxic_score", "keep")]
-    found = features(docs, carry)
-    model = docs.sparkSession.sparkContext.broadcast(train(found, labels, **bounds))
+    with working_tables():
+        fitted = train(features(docs), labels, **bounds)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     names = [f"__c{i}" for i in range(len(carry))]
-    kept = [f for f in found.schema.fields if f.name in names]
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], *_inputs(docs))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for b in batches:
-            text, meta = _views(b, own.mean, own.scale)
+        own, buckets = model.value, Buckets()
+        for b in pieces_of(batches):
+            text, meta = _views(pa.RecordBatch.from_arrays(_measured(b, buckets), names=["shape", "words", "meta"]), own.mean, own.scale)
             scores = [pa.array(np.full(b.num_rows, default) if v is None else v.scores(text, meta)) for v, default in ((own.quality, 1.0), (own.toxic, 0.0))]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *scores], names=[*names, "quality_score", "toxic_score"])
 
-    scored = found.select(*names, "shape", "words", "meta").mapInArrow(score, f"{kind}, quality_score double, toxic_score double")
+    scored = rows.mapInArrow(score, f"{kind}, quality_score double, toxic_score double")
     scored = scored.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "quality_score", "toxic_score")
     return scored.withColumn("keep", (F.col("quality_score") >= threshold) & (F.col("toxic_score") < threshold))
 

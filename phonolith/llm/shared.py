@@ -11,12 +11,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: The tables of each ``working_tables`` that is open.
+_open: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,9 +48,36 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if _open:
+        _open[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def working_tables() -> Iterator[None]:
+    """Tables written inside are removed at the end, but those named by ``keep``: nothing may read the others later."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _remove(spark, path)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``written``, but not removed with the working tables around it."""
+    now, _open[:] = list(_open), []
+    try:
+        return written(df, name)
+    finally:
+        _open[:] = now
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """The session sends Python about ``size`` bytes at a time from now on, or one row, where the default holds."""
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

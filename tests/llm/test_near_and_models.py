@@ -380,7 +380,7 @@ def test_views_teach_each_other():
 
 def test_scores_by_brute_force(spark, docs, labels):
     """Each row's scores, recomputed one by one from the text and the fitted weights."""
-    found = quality.features(docs, ["doc_id"])
+    found = quality.features(docs)
     model = quality.train(found, labels)
     got = {r["doc_id"]: r for r in rows(quality.classify(docs, labels))}
     buckets, sigmoid = quality.Buckets(), lambda z: 1 / (1 + math.exp(-max(-30, min(30, z))))
@@ -395,7 +395,7 @@ def test_scores_by_brute_force(spark, docs, labels):
 
 def test_the_surest_of_all_unlabelled_are_found(spark, docs, labels):
     """The distributed search gives what sorting all scores gives."""
-    found = quality.features(docs, ["doc_id"])
+    found = quality.features(docs)
     got = found.orderBy("uid").collect()
     each = {r["doc_id"]: r for r in labels.collect()}
     known = [quality._row(r, float(each[r["id"]]["quality"])) for r in got if r["id"] in each]
