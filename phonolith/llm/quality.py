@@ -260,7 +260,7 @@ def features(docs: DataFrame) -> DataFrame:
         for b in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("uid"), *_measured(b, buckets)], names=["id", "uid", "shape", "words", "meta"])
 
-    return written(rows.mapInArrow(measure, f"id long, uid long, {_FEATURES}"), "quality-features")
+    return written(rows.mapInArrow(measure, f"id long, uid long, {_FEATURES}"), "quality-features", compression="zstd")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +337,7 @@ def train(
             trainer.learn(200)
             trainers[target] = trainer
     if trainers:
-        pool = written(found.select("id", "uid", "shape", "words", "meta").join(each.select("id"), "id", "left_anti"), "quality-pool")
+        pool = written(found.select("id", "uid", "shape", "words", "meta").join(each.select("id"), "id", "left_anti"), "quality-pool", compression="zstd")
         taken: set[int] = set()
         for _ in range(rounds):
             surest = written(_surest(pool, trainers, most, sure, taken), "quality-surest")

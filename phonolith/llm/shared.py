@@ -40,11 +40,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/phonolith-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
