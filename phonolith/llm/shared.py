@@ -85,6 +85,11 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """From now on the session removes a query's shuffle files when it ends, not when the driver's memory is next collected."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], n: str, spread_by: list[str], hot: int = 1000, spread: int = 64) -> DataFrame:
     """``rows`` joined with the one row of ``unique`` for each key, also where a key holds a third of all rows.
 

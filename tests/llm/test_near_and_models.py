@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -194,6 +195,58 @@ def test_near_copies_by_kind_of_edit(spark):
     assert [p for p in pairs if got[p[1]] != p[0]] == []
 
 
+def near_texts(n=30, words=60):
+    """Texts in pairs: one word in the middle of the second is another."""
+    rng = np.random.default_rng(4)
+    for _ in range(n):
+        own = [f"w{k}" for k in rng.integers(0, 5000, words)]
+        yield " ".join(own)
+        yield " ".join([*own[: words // 2], "other", *own[words // 2 + 1 :]])
+
+
+def test_near_copies_are_linked_by_simhash_first(spark, monkeypatch):
+    """Without the shared shingles, the links of operator 8 are found and verified."""
+    texts = [*near_texts(words=800), "a b c d e f", "a b c d e f g"]
+    fps = [simhash_dedup.simhash(t, 3) for t in texts]
+    sets = [near_copies.shingles(near_copies.words_of(t)) for t in texts]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    real = [(a, b) for a, b in links if near_copies.jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(real) > 5
+    monkeypatch.setattr(near_copies, "_live", lambda *_: spark.createDataFrame([], "key long, doc_id long, size int, at int, n long"))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first"] for r in rows(near_copies.near_copy_groups(table))}
+    assert got == roots_of(range(len(texts)), real)
+
+
+def test_bitmaps_never_say_too_much():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(1, 1, 0), (1, 1, 1), (60, 64, 50), (65, 64, 60), (300, 280, 250), (1000, 3000, 900), (5, 4000, 5)]:
+        x = np.unique(rng.integers(0, 1 << 63, n + m, np.uint64))
+        a, b = x[:n], x[n - both : n - both + m]
+        apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert near_copies.least_apart(near_copies.bitmap(a), near_copies.bitmap(b)) <= apart
+        assert near_copies.least_apart(near_copies.bitmap(b), near_copies.bitmap(a)) <= apart
+    far = near_copies.least_apart(near_copies.bitmap(rng.integers(0, 1 << 63, 300, np.uint64)), near_copies.bitmap(rng.integers(0, 1 << 63, 300, np.uint64)))
+    assert far > 600 / 9  # such a pair goes
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    table = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    held = near_copies.near_copy_groups(table)  # keeps its plans alive
+    before = files()
+    again = near_copies.near_copy_groups(table)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert held.count() == again.count() == 60
+
+
 def test_near_copies_odd(odd, nothing, null_id):
     kept = near_copies.drop_near_copies(odd)
     assert kept.columns == odd.columns
