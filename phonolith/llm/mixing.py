@@ -15,7 +15,8 @@ the others share the rest. ``Fit.gap`` is how far the shares are from the target
 the end; beyond ``close`` there is a warning, or an error if ``strict``.
 
 Topics are clusters of the documents' TF-IDF vectors: words are hashed to
-``TERMS`` terms, whose document frequencies are counted over all documents; each
+``TERMS`` terms, and each document's counts of them are written, so that texts are
+split once; the document frequencies are counted over all documents; each
 document's weighted terms are projected on ``DIMS`` random signs; spherical
 k-means runs over all documents, its sums grouped by cluster. Documents without
 words have no topic. Tokens are stretches without white space, or the column
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces_of, small_batches, written
+from .shared import keep, pieces_of, small_batches, working_tables, written
 
 DRIVER_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
@@ -71,20 +72,24 @@ class Terms:
         return out
 
 
-def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """How many texts there are, and how many have each term: at most ``TERMS`` rows come back."""
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and where each row's end."""
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), kind), np.cumsum([len(d) for d in data]) // np.dtype(kind).itemsize
+
+
+def _frequencies(counted: DataFrame) -> tuple[int, np.ndarray]:
+    """How many rows there are, and how many have each term: at most ``TERMS`` rows come back. ``counted``: __terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, sums, n = Terms(), np.zeros(TERMS, np.int64), 0
-        for b in pieces_of(batches):
-            for t in b.column(0).to_pylist():
-                sums[list(set(terms.of(list(set(t.split())))))] += 1
-                n += 1
-        sums[0] = n  # in place of the marks
+        sums = np.zeros(TERMS, np.int64)
+        for b in batches:
+            sums += np.bincount(_numbers(b.column(0), "<u2")[0], minlength=TERMS)  # a row has a term once
+            sums[0] += b.num_rows  # in place of the marks
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["term", "n"])
 
-    found = texts.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = counted.select("__terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(TERMS, np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(out[0]), out
@@ -100,8 +105,13 @@ def vector(counts: Counter, idf: np.ndarray) -> np.ndarray:
     counts.pop(0, None)
     if not counts:
         return np.zeros(DIMS, np.float32)
-    terms = np.fromiter(counts.keys(), np.int64, len(counts))
-    weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[terms]
+    return _vector(np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts)), idf)
+
+
+def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    if not len(terms):
+        return np.zeros(DIMS, np.float32)
+    weights = (1 + np.log(counts)) * idf[terms]
     v = weights @ _signs()[terms]
     return (v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32)
 
@@ -162,24 +172,41 @@ def facts(docs: DataFrame, id_col: str, text_col: str, seed: int, tokens_col: st
         draw.alias("__draw"),
         text.alias("__text"),
     )
-    n, frequency = _frequencies(rows.select("__text"))
-    idf = docs.sparkSession.sparkContext.broadcast(np.log((1 + n) / (1 + frequency)))  # TERMS numbers
     kept = [f for f in rows.schema.fields if f.name not in ("__given", "__text")]
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", vec array<float>, __tokens long"
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in pieces_of(batches):
             words = [t.split() for t in b.column("__text").to_pylist()]
-            vectors = np.array([vector(Counter(terms.of(w)), idf.value) for w in words], np.float32).reshape(-1)
-            offsets = pa.array(np.arange(0, len(vectors) + 1, DIMS, dtype=np.int32))
+            counts = [Counter(terms.of(w)) for w in words]
+            for c in counts:
+                c.pop(0, None)
+            found = [np.fromiter(c.keys(), "<u2", len(c)).tobytes() for c in counts]
+            often = [np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in counts]
             tokens = [len(w) if g is None else g for w, g in zip(words, b.column("__given").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(f.name) for f in kept], pa.ListArray.from_arrays(offsets, pa.array(vectors)), pa.array(tokens, pa.int64())],
-                names=[*[f.name for f in kept], "vec", "__tokens"],
+                [*[b.column(f.name) for f in kept], pa.array(found, pa.binary()), pa.array(often, pa.binary()), pa.array(tokens, pa.int64())],
+                names=[*[f.name for f in kept], "__terms", "__counts", "__tokens"],
             )
 
-    measured = written(rows.mapInArrow(measure, kind), "mixing-vectors")
+    with working_tables():
+        counted = written(rows.mapInArrow(count, f"{kind}, __terms binary, __counts binary, __tokens long"), "mixing-counts")
+        n, frequency = _frequencies(counted)
+        idf = docs.sparkSession.sparkContext.broadcast(np.log((1 + n) / (1 + frequency)))  # TERMS numbers
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces_of(batches):
+                (terms, ends), (counts, _) = _numbers(b.column("__terms"), "<u2"), _numbers(b.column("__counts"), "<u4")
+                own = zip(np.split(terms.astype(np.int64), ends[:-1]), np.split(counts.astype(float), ends[:-1]))
+                vectors = np.array([_vector(t, c, idf.value) for t, c in own], np.float32).reshape(-1)
+                offsets = pa.array(np.arange(0, len(vectors) + 1, DIMS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(f.name) for f in kept], pa.ListArray.from_arrays(offsets, pa.array(vectors)), b.column("__tokens")],
+                    names=[*[f.name for f in kept], "vec", "__tokens"],
+                )
+
+        measured = keep(counted.mapInArrow(measure, f"{kind}, vec array<float>, __tokens long"), "mixing-vectors")
     centres = docs.sparkSession.sparkContext.broadcast(topic_centres(measured.select("vec"), topics))
 
     @F.pandas_udf("string")

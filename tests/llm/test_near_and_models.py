@@ -388,6 +388,31 @@ def test_topics_group_texts_of_a_kind(spark):
     assert terms.of(["Fish,", "fish"]) == terms.of(["fish"]) * 2 and terms.of(["--"]) == [0]
 
 
+def test_terms_are_counted_once_and_as_they_are(spark, docs, monkeypatch):
+    """The texts are split for one written table, from which frequencies and vectors come."""
+    some, seen, made = docs.limit(40), {}, mixing.written
+
+    def record(df, name, *a, **k):
+        out = made(df, name, *a, **k)
+        seen.setdefault(name, [r.asDict() for r in out.collect()] if name == "mixing-counts" else None)
+        return out
+
+    monkeypatch.setattr(mixing, "written", record)
+    own = mixing._frequencies
+    monkeypatch.setattr(mixing, "_frequencies", lambda table: seen.setdefault("frequencies", own(table)))
+    got = mixing.facts(some, "doc_id", "text", 6, None, 4, ["doc_id"])
+    terms = mixing.Terms()
+    want = {r["doc_id"]: Counter(terms.of((r["text"] or "").split())) for r in some.collect()}
+    for c in want.values():
+        c.pop(0, None)
+    for r in seen["mixing-counts"]:
+        assert dict(zip(np.frombuffer(r["__terms"], "<u2").tolist(), np.frombuffer(r["__counts"], "<u4").tolist())) == want[r["__c0"]]
+    n, frequency = seen["frequencies"]
+    assert n == 40 and frequency[1:].sum() == sum(map(len, want.values()))
+    assert all(frequency[t] == sum(t in c for c in want.values()) for c in want.values() for t in c)
+    assert got.count() == 40
+
+
 # --- quality ---
 
 
