@@ -3,8 +3,9 @@
 The text view sees shape statistics of the text and which words it has, hashed
 to ``BUCKETS`` and raised by how far apart their rates in the two classes are;
 the metadata view sees source, language and length. Features of
-whole texts of every document are written for the training and go afterwards; the
-scoring reads the texts again. Starting from the
+whole texts of every document are written once for the training and go
+afterwards; labelled ones are passed over by a bit for each row, and the scoring
+reads the texts again. Starting from the
 labels, in each round each view scores all unlabelled documents and hands the
 ``most`` it is surest of, for each class, to the other as pseudo-labels. At the
 end the views' scores are calibrated together on labels held out of the
@@ -30,10 +31,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces_of, small_batches, working_tables, written
+from .shared import clean_shuffles, pieces_of, small_batches, working_tables, written
 
 _WORDS = re.compile(r"[^\W\d_]+")
 META, BUCKETS = 64, 1 << 16
@@ -253,6 +255,7 @@ def _measured(b: pa.RecordBatch, buckets: Buckets) -> list[pa.Array]:
 def features(docs: DataFrame) -> DataFrame:
     """id, uid and the features of each row; written, so that each row keeps its uid."""
     small_batches(docs.sparkSession)
+    clean_shuffles(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), *_inputs(docs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,16 +283,39 @@ def _row(r, y: float) -> Row:
     return Row(np.array(r["shape"], float), np.array(r["words"], np.int64), np.array(r["meta"], np.int64), y)
 
 
-def _surest(pool: DataFrame, trainers: dict[str, CoTraining], most: int, sure: float, taken: set[int]) -> DataFrame:
-    """(list, p, uid, features): of each task the unlabelled rows that a view is surest of, for each target, view and class.
+@dataclass
+class Marks:
+    """A set of row numbers as one bit each: 64 numbers' bits stand at the place of their number over 64."""
+
+    place: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame, uid: str = "uid") -> Marks:
+        """A word of 64 bits for each 64 rows comes to the driver."""
+        bit = F.expr(f"shiftleft(1L, cast({uid} & 63 as int))")
+        found = rows.groupBy(F.shiftright(uid, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).orderBy("place").toArrow()
+        return cls(found["place"].to_numpy(), found["bits"].to_numpy().view(np.uint64))
+
+    def has(self, uids: np.ndarray) -> np.ndarray:
+        if not len(self.place):
+            return np.zeros(len(uids), bool)
+        at = np.minimum(np.searchsorted(self.place, uids >> 6), len(self.place) - 1)
+        return (self.place[at] == uids >> 6) & (self.bits[at] >> (uids & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _surest(found: DataFrame, trainers: dict[str, CoTraining], most: int, sure: float, taken: set[int], labelled: Broadcast | None = None) -> DataFrame:
+    """(list, p, uid, features): of each task the rows, but those marked ``labelled``, that a view is surest of, for each target, view and class.
 
     list: target / view / class, as text.
     """
-    sent = pool.sparkSession.sparkContext.broadcast((trainers, np.array(sorted(taken), np.int64)))
+    sent = found.sparkSession.sparkContext.broadcast((trainers, np.array(sorted(taken), np.int64)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, gone = sent.value
         for b in batches:
+            if labelled is not None:
+                b = b.filter(pa.array(~labelled.value.has(b.column("uid").to_numpy())))
             free = ~np.isin(b.column("uid").to_numpy(), gone)
             for target, trainer in own.items():
                 for view, p in trainer.sure(*_views(b, trainer.mean, trainer.scale)).items():
@@ -301,7 +327,7 @@ def _surest(pool: DataFrame, trainers: dict[str, CoTraining], most: int, sure: f
                             names = [f"{target}/{view}/{side}"] * len(at)
                             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(score[at]), *part.columns], names=["list", "p", *part.schema.names])
 
-    return pool.select("uid", "shape", "words", "meta").mapInArrow(search, f"list string, p double, uid long, {_FEATURES}")
+    return found.select("uid", "shape", "words", "meta").mapInArrow(search, f"list string, p double, uid long, {_FEATURES}")
 
 
 def train(
@@ -337,18 +363,23 @@ def train(
             trainer.learn(200)
             trainers[target] = trainer
     if trainers:
-        pool = written(found.select("id", "uid", "shape", "words", "meta").join(each.select("id"), "id", "left_anti"), "quality-pool", compression="zstd")
+        labelled = found.sparkSession.sparkContext.broadcast(Marks.of(found.select("id", "uid").join(each.select("id"), "id", "left_semi")))
         taken: set[int] = set()
         for _ in range(rounds):
-            surest = written(_surest(pool, trainers, most, sure, taken), "quality-surest")
-            for target, trainer in trainers.items():
-                for view in ("text", "meta"):
-                    for side in (1, 0):
-                        mine = surest.where(F.col("list") == f"{target}/{view}/{side}").orderBy(F.desc("p"), F.xxhash64("uid"), "uid").limit(most)
-                        got = mine.collect()  # at most ``most`` rows
-                        trainer.teach(view, [_row(r, float(side)) for r in got])
-                        taken |= {r["uid"] for r in got}
+            surest = written(_surest(found, trainers, most, sure, taken, labelled), "quality-surest")
+            lists = [f"{target}/{view}/{side}" for target in trainers for view in ("text", "meta") for side in (1, 0)]
+            chosen_uids = {}
+            for name in lists:  # each task sends at most ``most`` numbers, and the features of the chosen alone follow
+                mine = surest.where(F.col("list") == name).select("p", "uid").orderBy(F.desc("p"), F.xxhash64("uid"), "uid").limit(most)
+                chosen_uids[name] = [r["uid"] for r in mine.collect()]
+            uids = sorted({u for own in chosen_uids.values() for u in own})
+            features_of = {r["uid"]: r for r in surest.where(F.col("uid").isin(uids)).dropDuplicates(["uid"]).collect()} if uids else {}
+            for name in lists:
+                target, view, side = name.split("/")
+                trainers[target].teach(view, [_row(features_of[u], float(side)) for u in chosen_uids[name]])
+            for trainer in trainers.values():
                 trainer.learn(40)
+            taken |= set(uids)
     views = {t: trainers[t].view() if t in trainers else None for t in ("quality", "toxic")}
     return Model(mean, scale, views["quality"], views["toxic"])
 

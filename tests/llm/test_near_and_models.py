@@ -488,6 +488,36 @@ def test_the_surest_of_all_unlabelled_are_found(spark, docs, labels):
         assert mine == pytest.approx(want, abs=1e-5)
 
 
+def test_marks(spark):
+    rng = np.random.default_rng(3)
+    marked = sorted({int(k) for k in rng.integers(0, 1000, 300)} | {0, 63, 64, 127, (5 << 33) + 63, (5 << 33) + 64})
+    marks = quality.Marks.of(spark.createDataFrame([(k,) for k in marked], "uid long").repartition(3))
+    every = np.array([*range(1100), *range(5 << 33, (5 << 33) + 200), 9 << 33], np.int64)
+    assert every[marks.has(every)].tolist() == marked
+    none = quality.Marks.of(spark.createDataFrame([], "uid long"))
+    assert not none.has(every).any()
+
+
+def test_features_are_written_once(docs, labels, monkeypatch):
+    """But for the few surest rows; and no labelled row is among these."""
+    seen, made = {}, quality.written
+
+    def record(df, name, *a, **k):
+        out = made(df, name, *a, **k)
+        if "words" in df.columns:
+            seen.setdefault(name, [r["uid"] for r in out.select("uid").collect()])
+        if name == "quality-features":
+            seen["ids"] = {r["uid"]: r["id"] for r in out.select("uid", "id").collect()}
+        return out
+
+    monkeypatch.setattr(quality, "written", record)
+    quality.train(quality.features(docs), labels, most=5, sure=0.5)
+    ids = seen.pop("ids")
+    known = {r["doc_id"] for r in labels.where("quality is not null or toxic is not null").collect()}
+    assert set(seen) == {"quality-features", "quality-surest"}
+    assert seen["quality-surest"] and not {ids[u] for u in seen["quality-surest"]} & known
+
+
 def test_shape():
     assert quality.shape("") == [0.0] * quality.SHAPES and len(quality.shape("a b A!! | 9")) == quality.SHAPES
 
