@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import clean_shuffles, join_hot, keep, pieces_of, small_batches, working_tables, written
+from .shared import clean_shuffles, collect_garbage, join_hot, keep, pieces_of, small_batches, working_tables, written
 from .simhash_dedup import link_fingerprints, simhash
 
 WORDS, SIMILARITY, HOT = 5, 0.8, 64
@@ -254,6 +254,7 @@ def _joined(live: DataFrame, linked: DataFrame, likely: Callable[..., Column], v
     never met again, and no other is left out.
     """
     tested = written(linked, "near-candidates")
+    collect_garbage(live.sparkSession)
     edges = written(verified(tested), "near-edges")
     roots = written(connected_components(edges), "near-roots")
 
@@ -274,11 +275,13 @@ def _joined(live: DataFrame, linked: DataFrame, likely: Callable[..., Column], v
     edges = edges.unionByName(more)
     roots = written(connected_components(edges), "near-roots")
 
+    collect_garbage(live.sparkSession)
     order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "doc_id"))
     now = written(open_keys(live).withColumn("rank", order).select("key", "doc_id", "size", "at", "n", "rank", "root"), "near-open")
     # The pivots of rank 1 have met all.
     first, block = 2, growth
     while not now.isEmpty():
+        collect_garbage(live.sparkSession)
         last = first + block - 1
         turn = F.col("rank").between(first, last) | (F.col("n") <= hot) & (F.col("rank") >= first)
         x = now.where(turn).select("key", F.col("doc_id").alias("x"), F.col("rank").alias("turn"), F.col("root").alias("own"), F.col("size").alias("size_x"), F.col("at").alias("at_x"))
@@ -300,6 +303,7 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
     """(doc_id, first): each document and the smallest id of its group of near copies. ``docs``: doc_id, text."""
     small_batches(docs.sparkSession)
     clean_shuffles(docs.sparkSession)
+    collect_garbage(docs.sparkSession)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     entries = written(_entries(docs, words, similarity), "near-entries")
     classes = written(entries.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("e")).select("k1", "k2", "e.doc_id", "e.row"), "near-classes")

@@ -351,14 +351,18 @@ def train(
     near = F.xxhash64("id", F.lit(9))
     chosen = each.join(found.select("id"), "id", "left_semi").orderBy(near, "id").limit(max_labelled)
     chosen = written(chosen, "quality-chosen")  # the broadcast is bounded by max_labelled rows
-    fitted = found.select("id", "uid", "shape", "words", "meta").join(F.broadcast(chosen), "id").orderBy("id", "uid").collect()
-    fitted = list({r["id"]: r for r in reversed(fitted)}.values())[::-1]
-    raw = np.array([r["shape"] for r in fitted], float).reshape(-1, SHAPES)
+    fitted = found.select("id", "uid", "shape", "words", "meta").join(F.broadcast(chosen), "id").orderBy("id", "uid").toArrow().combine_chunks()
+    # Of documents that repeat an id the first; as arrays, since lists of numbers would take several times the memory.
+    ids, first = np.unique(fitted["id"].to_numpy(), return_index=True)
+    fitted = fitted.take(pa.array(first))
+    columns = [[x.values.to_numpy() for x in fitted[c]] for c in ("shape", "words", "meta")]
+    raw = np.array(columns[0], float).reshape(-1, SHAPES)
     mean = raw.mean(0) if len(raw) else np.zeros(SHAPES)
     scale = np.maximum(raw.std(0), 1e-3) if len(raw) else np.ones(SHAPES)
     trainers = {}
     for target in ("quality", "toxic"):
-        trainer = CoTraining([_row(r, float(r[target])) for r in fitted if r[target] is not None], mean, scale)
+        given = fitted[target].to_pylist()
+        trainer = CoTraining([Row(np.array(s, float), np.array(w, np.int64), np.array(m, np.int64), float(y)) for s, w, m, y in zip(*columns, given) if y is not None], mean, scale)
         if trainer.ready:
             trainer.learn(200)
             trainers[target] = trainer

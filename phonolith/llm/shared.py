@@ -7,6 +7,7 @@ read back through Spark, so any store Spark can write will do.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -85,6 +86,12 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """The driver's Python and its JVM give back what earlier steps held: plans, collected rows and broadcasts nobody reads."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clean_shuffles(spark: SparkSession) -> None:
     """From now on the session removes a query's shuffle files when it ends, not when the driver's memory is next collected."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
