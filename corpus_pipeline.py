@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.llm import line_dedup, mixing, near_copies, packing, quality
-from phonolith.llm.shared import clean_shuffles, written
+from phonolith.llm.shared import clean_shuffles, collect_garbage, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage takes over neither shuffle files nor the driver's memory from those before it."""
+    clean_shuffles(spark)
+    collect_garbage(spark)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go.
 
@@ -22,7 +28,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on their own; without labels all stay. Other columns than those of
     ``documents`` go. An empty table gives an empty one.
     """
-    clean_shuffles(spark)
+    _begin(spark)
     found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=COLUMNS)
     return found.where("keep").select(*COLUMNS)
 
@@ -33,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes an empty one. Rows that repeat an id are one document,
     rows without an id one that comes last; no row goes. Other columns go.
     """
-    clean_shuffles(spark)
+    _begin(spark)
     found = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -46,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are copies of each other. Rows without an id stay, rows
     that repeat an id stay or go together. Other columns go.
     """
-    clean_shuffles(spark)
+    _begin(spark)
     return near_copies.drop_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -56,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source or language is a value of its own. Rows that repeat an id share
     their draw, rows without an id are drawn by their text. Other columns go.
     """
-    clean_shuffles(spark)
+    _begin(spark)
     return mixing.sample(docs.select(*COLUMNS), keep=0.8)
 
 
@@ -64,7 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids packed into windows of 1024; a null text is the end id alone, every row is packed."""
     import public_tokenizers
 
-    clean_shuffles(spark)
+    _begin(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -7,14 +7,17 @@ read back through Spark, so any store Spark can write will do.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +90,50 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """The driver's Python and its JVM give back what earlier steps held: plans, collected rows and broadcasts nobody reads."""
+    """The driver's Python and its JVM give back what earlier steps held: plans, collected rows and broadcasts nobody reads.
+
+    It goes back to the system: the JVM's heap shrinks until its least free share
+    (``MinHeapFreeRatio``, else up to 70 % stay free), and both C libraries give up
+    what they keep for later, most of it left by the JVM's compiler. Where a JVM
+    or C library has no such call, that part is left out.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm = spark._jvm
+    with _free_share(jvm):
+        jvm.System.gc()
+    with suppress(Py4JError, PySparkException):
+        _diagnostic(spark, "systemTrimNativeHeap")
+
+
+def _diagnostic(spark: SparkSession, command: str) -> str:
+    """What a diagnostic command of the driver's JVM says (``jcmd`` within the process)."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    kinds, values = new(jvm.Class, 4), new(jvm.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(name)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), command
+    # The method of the interface: the server's own class is not exported.
+    return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
+@contextmanager
+def _free_share(jvm) -> Iterator[None]:
+    """Inside, a collection leaves no more of the heap free than it must."""
+    name, before = "MaxHeapFreeRatio", None
+    with suppress(Py4JError, PySparkException):
+        kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        bean = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+        before = bean.getVMOption(name).getValue()
+        bean.setVMOption(name, bean.getVMOption("MinHeapFreeRatio").getValue())
+    try:
+        yield
+    finally:
+        if before is not None:
+            with suppress(Py4JError, PySparkException):
+                bean.setVMOption(name, before)
 
 
 def clean_shuffles(spark: SparkSession) -> None:
