@@ -186,6 +186,19 @@ def sparse_of(rows: list[Row], mean: np.ndarray, scale: np.ndarray) -> tuple[Spa
     return Sparse.of((shapes - mean) / scale, [r.words for r in rows], BUCKETS), Sparse.of(np.zeros((len(rows), 0)), [r.meta for r in rows], META)
 
 
+@dataclass
+class Scorer:
+    """What a task needs to score rows: each view's weights, none of the rows they were learnt from."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: dict[str, np.ndarray | None]
+
+    def sure(self, text: Sparse, meta: Sparse) -> dict[str, np.ndarray]:
+        """Each view's scores of unlabelled rows."""
+        return {"text": _sigmoid(text.logits(self.weights["text"])), "meta": _sigmoid(meta.logits(self.weights["meta"]))}
+
+
 class CoTraining:
     """Two views of one target that teach each other."""
 
@@ -210,9 +223,11 @@ class CoTraining:
             self.bare[name] = fit(x, y, self.bare[name], steps, gain=gain)
             self.weights[name] = gain * self.bare[name]
 
+    def scorer(self) -> Scorer:
+        return Scorer(self.mean, self.scale, dict(self.weights))
+
     def sure(self, text: Sparse, meta: Sparse) -> dict[str, np.ndarray]:
-        """Each view's scores of unlabelled rows."""
-        return {"text": _sigmoid(text.logits(self.weights["text"])), "meta": _sigmoid(meta.logits(self.weights["meta"]))}
+        return self.scorer().sure(text, meta)
 
     def teach(self, name: str, rows: list[Row]) -> None:
         """Pseudo-labels of view ``name`` for the other."""
@@ -309,7 +324,9 @@ def _surest(found: DataFrame, trainers: dict[str, CoTraining], most: int, sure:
 
     list: target / view / class, as text.
     """
-    sent = found.sparkSession.sparkContext.broadcast((trainers, np.array(sorted(taken), np.int64)))
+    # A broadcast lies on the disk of the driver and twice on that of each executor.
+    scorers = {target: trainer.scorer() for target, trainer in trainers.items()}
+    sent = found.sparkSession.sparkContext.broadcast((scorers, np.array(sorted(taken), np.int64)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, gone = sent.value
@@ -317,8 +334,8 @@ def _surest(found: DataFrame, trainers: dict[str, CoTraining], most: int, sure:
             if labelled is not None:
                 b = b.filter(pa.array(~labelled.value.has(b.column("uid").to_numpy())))
             free = ~np.isin(b.column("uid").to_numpy(), gone)
-            for target, trainer in own.items():
-                for view, p in trainer.sure(*_views(b, trainer.mean, trainer.scale)).items():
+            for target, scorer in own.items():
+                for view, p in scorer.sure(*_views(b, scorer.mean, scorer.scale)).items():
                     for side, score in ((1, p), (0, 1 - p)):
                         at = np.flatnonzero((score >= sure) & free)
                         at = at[np.argsort(-score[at], kind="stable")[:most]]

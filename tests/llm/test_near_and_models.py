@@ -2,6 +2,7 @@
 
 import ctypes
 import math
+import pickle
 import re
 import struct
 import time
@@ -565,6 +566,20 @@ def test_features_are_written_once(docs, labels, monkeypatch):
     assert seen["quality-surest"] and not {ids[u] for u in seen["quality-surest"]} & known
 
 
+def test_tasks_get_the_weights_alone(spark, docs, labels, monkeypatch):
+    """What is sent to tasks does not grow with the rows that were learnt from."""
+    sizes, kind = [], type(spark.sparkContext)
+
+    def record(self, value, send=kind.broadcast):
+        sizes.append(len(pickle.dumps(value)))
+        return send(self, value)
+
+    monkeypatch.setattr(kind, "broadcast", record)
+    quality.train(quality.features(docs), labels, most=5, sure=0.5)
+    weights = 2 * 8 * (quality.SHAPES + quality.BUCKETS + 1 + quality.META + 1)
+    assert sizes and max(sizes) < weights + 10_000
+
+
 def test_shape():
     assert quality.shape("") == [0.0] * quality.SHAPES and len(quality.shape("a b A!! | 9")) == quality.SHAPES
 
