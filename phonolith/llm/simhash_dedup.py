@@ -3,8 +3,9 @@
 A fingerprint of 64 bits and a radius of 2 is cut into two segments of 32 bits,
 so that for any link one segment differs by at most one bit. Each fingerprint is
 indexed under each segment as it is and under the 32 variants with one bit
-wild. Equal keys are joined and the pair verified on all bits. Two members of
-one wildcard key are taken only with that bit different, so each pair meets at
+wild. Keys that several hold are counted, their members found by the one or two
+values of the segment that such a key covers, members of equal keys joined and
+the pair verified on all bits. Two members of one wildcard key are taken only with that bit different, so each pair meets at
 most once for each segment.
 
 Keys with more than ``hot`` different fingerprints are not paired: the other
@@ -66,20 +67,30 @@ def _signed(mask: int) -> int:
 
 def link_fingerprints(fps: DataFrame, fp: str = "fp", hot: int = HOT) -> DataFrame:
     """(a, b), a < b: edges whose components are those of all pairs within 2 bits."""
-    # A given number of partitions, as each row becomes 66.
+    # A given number of partitions, as each row becomes 66; by another hash than that of distinct, whose few tasks would do else.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(tasks, "fp")
+    distinct = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     seg = F.expr("shiftrightunsigned(fp, 32 * seg) & 4294967295")
-    variants = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")).select("fp", "seg", seg.alias("s"))
+
+    def segments(of: DataFrame) -> DataFrame:
+        return of.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")).select("fp", "seg", seg.alias("s"))
+
     # wild -1: the segment as it is.
-    variants = variants.select("fp", "seg", "s", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("wild"))
+    variants = segments(distinct.repartition(tasks, F.xxhash64("fp"))).select("seg", "s", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("wild"))
     masked = F.when(F.col("wild") < 0, F.col("s")).otherwise(F.expr("s & ~shiftleft(1L, wild)"))
-    keyed = variants.select("fp", F.expr("shiftleft(seg * 33L + wild + 1, 32)").bitwiseOR(masked).alias("key"))
+    keyed = variants.select(F.expr("shiftleft(seg * 33L + wild + 1, 32)").bitwiseOR(masked).alias("key"))
     # Members are counted on the map side first; few keys have more than one.
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    live = written(keyed.join(shared, "key"), "simhash-variants")
     slot = F.shiftright("key", 32)  # seg * 33 + wild + 1
-    live = live.withColumn("seg", F.floor(slot / 33).cast("int")).withColumn("wild", (slot % 33 - 1).cast("int"))
+    of_slot = [F.floor(slot / 33).cast("int").alias("seg"), (slot % 33 - 1).cast("int").alias("wild")]
+    # Members come by the one or two segments that a shared key stands for, so the variants are not dealt out again.
+    known = shared.select("key", "n", *of_slot, F.col("key").bitwiseAND(F.lit(_FULL)).alias("s"))
+    both = F.expr("if(wild < 0, array(s), array(s, s | shiftleft(1L, wild)))")
+    known = known.select("key", "n", "seg", "wild", F.explode(both).alias("s"))
+    held = F.max(F.when(F.col("wild") < 0, F.col("n")).otherwise(1)).alias("held")
+    known = written(known.groupBy("seg", "s").agg(held, F.collect_list(F.struct("key", "n")).alias("keys")), "simhash-segments")  # 33 keys at most
+    live = join_hot(segments(distinct), known, ["seg", "s"], "held", ["fp"]).select("fp", F.inline("keys"))
+    live = written(live, "simhash-variants").select("key", "fp", "n", *of_slot)
 
     few = live.where(F.col("n") <= hot)
     bit = F.expr("if(wild < 0, 0L, shiftrightunsigned(fp, seg * 32 + wild) & 1L)")

@@ -96,6 +96,36 @@ def test_links_have_the_components_of_all_pairs(spark, hot):
     assert roots_of(fps, links) == want
 
 
+def test_variants_are_dealt_out_once(spark):
+    """66 rows of each fingerprint for the counts; where members are looked up, two."""
+    n, sc, name = 3000, spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    far = np.random.default_rng(5).integers(0, 2**63, n).tolist()
+    table = spark.createDataFrame([(f,) for f in far] + [(f ^ 1,) for f in far[:20]], "fp long").localCheckpoint()
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as where the shared keys are too many to be sent
+    sc.setJobGroup("links", "links")
+    try:
+        assert len(rows(simhash_dedup.link_fingerprints(table))) == 20
+    finally:
+        spark.conf.set(name, before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("links") for s in tracker.getJobInfo(j).stageIds}
+    assert 66 * n < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 90 * n
+
+
+def test_members_of_a_hot_segment_join_whole(spark):
+    """Over 4096 fingerprints with one segment."""
+    base = 0x0123456789ABCDEF
+    least = np.arange(5000) * 8 & 0xFFFFFFFF  # bits 0 to 2 are clear
+    fps = sorted({base & ~0xFFFFFFFF | int(x) for x in least} | {base & ~0xFFFFFFFF | int(x) | 1 for x in least[:50]} | {1 << 62})
+    found = set(fps)
+    near = [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)]
+    want = roots_of(fps, [(a, a ^ x) for a in fps for x in near if a ^ x in found])
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert roots_of(fps, [(r["a"], r["b"]) for r in rows(simhash_dedup.link_fingerprints(table))]) == want
+
+
 def test_near_dedup_components(docs, odd, nothing, null_id):
     for table in (docs, odd):
         texts = table.select("doc_id", "text").collect()
