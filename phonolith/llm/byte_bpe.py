@@ -142,5 +142,5 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def byte_bpe(path: str, memo_bytes: int = MEMO_BYTES) -> ByteBpe:
+    return ByteBpe(path, memo_bytes)

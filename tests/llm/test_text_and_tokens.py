@@ -200,6 +200,17 @@ def test_block_widths(width):
         assert (token_files.unpack_block(token_files.pack_block(ids[:n])) == ids[:n]).all()
 
 
+@pytest.mark.parametrize("width", [8, 16, 32])
+def test_whole_bytes_are_packed_without_shifting(width, monkeypatch):
+    """The file format's bytes, counted out one value after another."""
+    rest = np.random.default_rng(width).integers(0, 2**32, 100).astype(np.uint32)
+    want = sum((int(x) & (1 << width) - 1) << i * width for i, x in enumerate(rest))
+    monkeypatch.setattr(np, "ascontiguousarray", None)  # what transposing for the shifts takes
+    words = token_files._to_words(rest, width)
+    assert words.shape == (2, width) and words.astype("<u8").tobytes() == want.to_bytes(16 * width, "little")
+    assert token_files._from_words(words, 100, width).tolist() == [int(x) & (1 << width) - 1 for x in rest]
+
+
 # --- HTML ---
 
 
